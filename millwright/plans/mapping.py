@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwright.params import Params
+from millwright.session import scratch_table
 
 # gap limits stretched to the spacing of the given events; everything else as in production
 MAPPED = Params(freshness_s=28_800, gap_recovery_s=28_800, forget_ms=86_400_000, live_ttl_s=86_400,
@@ -36,7 +37,10 @@ COLUMNS: list[list[tuple[str, str]]] = [
                    "ELSE cents / 100.0E0 END")],
     [("parts_count", "CASE WHEN event_type = 'error' AND k % 3 = 0 THEN NULL WHEN k % 13 = 0 THEN 5 "
                      "WHEN k % 17 = 3 THEN k % 3 WHEN k % 29 = 0 THEN cum + 150 ELSE cum END"),
-     ("standalone", "event_type IN ('view', 'signup')")],
+     ("standalone", "event_type IN ('view', 'signup')"),
+     ("sent_s", "CASE WHEN seq % 109 = 0 THEN recv_s + 120 WHEN seq % 7 = 3 THEN recv_s - 40000 "
+                "WHEN seq % 11 = 0 THEN recv_s - 90000 ELSE recv_s - seq % 4 END")],
+    [("no_time", "standalone AND seq % 9 = 4 AND seq % 107 > 0 AND seq % 109 > 0 AND seq % 137 > 0 AND seq % 139 > 0")],
 ]
 
 _SPARK = {"div": "div", "recv_s": "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)",
@@ -88,6 +92,87 @@ def fleet(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
         "machine_status", F.col("status_word")).withColumn("energy", F.col("meter_kwh")).join(machines, "machine_id")
 
 
+# the stale limit that goes with the given spacing: readings are sent up to 40,000 s late without being stale
+SENT = MAPPED.with_(max_stale_ms=80_000_000)
+
+# JSON text of one packet, from the columns above; k picks spellings, units and defects
+_TIME = """CASE WHEN no_time THEN '' ELSE concat('"time":', CASE WHEN seq % 107 = 0 THEN concat(sent_s, '000')
+  WHEN seq % 137 = 0 THEN '"soon"' WHEN seq % 139 = 0 THEN concat(sent_s, '.5') WHEN seq % 10 = 1 THEN concat('"', sent_s, '"')
+  ELSE CAST(sent_s AS STRING) END, ',') END"""
+_LINK = """CASE seq % 37 WHEN 0 THEN '"connection":false,' WHEN 1 THEN '"connection":"0",' WHEN 2 THEN '"connection":0,'
+  WHEN 3 THEN '"connection":"false",' WHEN 4 THEN '"connection":null,' WHEN 5 THEN '' ELSE '"Connection":true,' END"""
+_KWH = """CASE WHEN k % 19 = 0 THEN '' WHEN k % 6 = 0 THEN concat('"Energy":', meter_kwh, ',')
+  WHEN k % 6 = 1 THEN concat('"energy":"', meter_kwh, ' kWh",')
+  WHEN k % 6 = 2 THEN concat('"Energy_Data":{"Total_Wh":', meter_kwh * 1000.0E0, '},')
+  WHEN k % 6 = 3 THEN concat('"EnergyFormatted":"', replace(CAST(meter_kwh AS STRING), '.', ','), 'kwh",')
+  ELSE concat('"Energy":"n/a","EnergyData":{"value":"', meter_kwh, '","unit":"kWh"},') END"""
+_POWER = """concat('"PowerData":{"Average_Voltage_LN":240.5,', CASE WHEN k % 23 = 0 THEN '' ELSE
+  concat('"Average_Voltage_LL":', 400 + k % 30, ',') END, '"Average_Current":"', k % 50, ',25","kW1":', k, ',"PF1":0.9,',
+  '"Run_Hour":', k * 10, ',"Auxiliary_Interrupts":', CASE WHEN k % 31 = 0 THEN '3000000000' ELSE concat(k, '.7') END,
+  ',"Total_kW":', CASE WHEN k % 5 = 0 THEN '"12 W"' ELSE CAST(-k / 10.0E0 AS STRING) END, '},',
+  CASE WHEN k % 23 = 0 THEN '"volts":" 415,5 ",' ELSE '' END,
+  CASE WHEN k % 5 = 0 THEN concat('"power":', k * 100, ',"power_unit":"W",') ELSE '' END)"""
+_AXES = """concat('"servo_axis_load_percent":{"X":', k, ',"y ":"', k, ',5","A":3},"servo_motor_temperature":{"X":0,"Y":', k % 50,
+  ',"b":"45 C"},', CASE WHEN k % 2 = 0 THEN '"Encoder_temperature"' ELSE '"encoder_temperatures"' END, ':{"Z":', k % 3,
+  '},"spindle_speed":"', 1000 + k, ' rpm","spindle_temperature":', k % 4, ',"cnc_battery":0,"current_sequence_number":"', k, '.9",')"""
+_FANS = """concat('"cnc_fans":', CASE WHEN k % 3 = 0 THEN concat('{"FAN1":{"on":true,"fault":0,"rpm":', k * 10, '},"FAN2":null,"FAN3":[1]}')
+  WHEN k % 3 = 1 THEN '{"FAN1":{"state":1}}' ELSE 'null' END, ',"fans":{"radiator":"OK","F2":', k, ',"F3":""},',
+  '"battery":{"x":', CASE WHEN k % 2 = 0 THEN 'true' ELSE '"0"' END, ',"Y ":0,"Z":"maybe"},')"""
+_ALARM = """CASE WHEN event_type = 'error' THEN concat('"pmc_alarm":{"exist":1,"alarms":[{"number":', 1000 + k % 3,
+  ',"type":15,"axis":', k % 3, ',"message":" M', k % 3, ' TIMEOUT "},{"number":', 400 + k % 2, ',"type":"sv"},"', k % 4, '",{"x":1},',
+  '{"code":"EX', 1000 + k % 3, '"}]},', CASE WHEN k % 10 = 0 THEN '"stat_emergency":1,' ELSE '"stat_alarm":1,' END)
+  WHEN k % 9 = 0 THEN '"pmc_alarm":{"exist":0,"count":"1","alarms":[]},' WHEN k % 9 = 1 THEN '"stat_alarm":true,' ELSE '' END"""
+_CELLS = """concat('"acc_battery":{" x":{"raw":', (k % 4) * 8, '},"Y":{"low":', CASE WHEN k % 2 = 0 THEN 'false' ELSE '"1"' END,
+  '},"Z":{"raw":"x","status":" ok "},"9":{"raw":0}},"cnc_battery_warning":{"warning":', CASE k % 3 WHEN 0 THEN '1' WHEN 1 THEN 'false'
+  ELSE '"?"' END, ',"raw_alarm_value":', k, '},')"""
+_IDENTITY = """concat('"series":"', k div 25, '","version":', k div 50, ',"cnc_type":"", "controlled_axes":"', 3 + k % 2, ' axes",',
+  '"focas_result":', CASE WHEN k % 4 = 0 THEN concat('{"stat":', k % 2, '}') WHEN k % 4 = 1 THEN '[]' ELSE 'null' END, ',')"""
+_PROCESS = """concat(CASE WHEN seq % 3 = 0 THEN '" Machine_Status "' ELSE '"machine_status"' END, ':"', status_word, '","Mode":"', mode,
+  '","parts_count":', CASE WHEN parts_count IS NULL THEN 'null' WHEN k % 7 = 0 THEN concat('" ', parts_count, ' "')
+  ELSE CAST(parts_count AS STRING) END, ',', CASE WHEN k % 3 = 0 THEN '"surface_speed"' ELSE '"cutting_speed"' END, ':"', k, ',5 m",',
+  CASE k % 3 WHEN 0 THEN '"program_number"' WHEN 1 THEN '"program_no"' ELSE '"o_number"' END, ':"', k, '.8",',
+  CASE WHEN k % 2 = 0 THEN '"total_run_time"' ELSE '"powered_on_time"' END, ':', k * 3600, ',"status":', CASE WHEN k % 20 = 7
+  THEN '42279658848' ELSE concat(k, '.9') END, ',"feed_rate":"', k * 10, '",')"""
+
+_BODY = f"""concat('{{', {_TIME}, {_LINK}, {_KWH}, CASE WHEN standalone THEN concat('"kw":', k / 4.0E0, ',') ELSE
+  concat({_PROCESS}, {_POWER}, {_AXES}, {_FANS}, {_ALARM}, {_CELLS}, {_IDENTITY}) END,
+  CASE WHEN seq % 113 = 0 THEN concat('"deep":', repeat('[', 13), '1', repeat(']', 13), ',') ELSE '' END,
+  CASE WHEN seq % 131 = 0 THEN concat('"pad":"', repeat('x', 66000), '",') ELSE '' END,
+  '"Machine_IP":"10.0.0.', machine_id % 250, '"}}')"""
+_PAYLOAD = f"""CASE WHEN seq % 101 = 0 THEN substring({_BODY}, 1, 40) WHEN seq % 103 = 0 THEN concat('[', {_BODY}, ']')
+  ELSE {_BODY} END"""
+
+
+_LANDED: dict[tuple[str, str], DataFrame] = {}
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw packets (seq, topic, payload, recv_ms): every event as JSON, every 13th delivered twice.
+
+    Landed once per application as a Parquet table, as raw packets would be.
+    """
+    sent = readings(spark, sf_dir).selectExpr(
+        "seq", "machine_id", f"{_PAYLOAD} AS payload", "recv_ms",
+        "CASE WHEN seq % 127 = 0 THEN 'machines//telemetry' ELSE concat('machines/k', machine_id, '/telemetry') END AS topic",
+        "explode(CASE WHEN seq % 13 = 0 THEN array(0, 1) ELSE array(0) END) AS copy")
+    packets = sent.selectExpr("seq * 2 + copy AS seq", "topic", "payload", "recv_ms + copy * 5000 AS recv_ms")
+    landed = (spark.sparkContext.applicationId, sf_dir)
+    if landed not in _LANDED:
+        _LANDED[landed] = scratch_table(packets, "packets")
+    return _LANDED[landed]
+
+
+# the same packets as columns: what a reader of the JSON must find
+MESSAGES_SQL = """p AS (SELECT t.* EXCLUDE (seq, recv_ms), t.seq AS event_seq, t.seq * 2 + copy AS seq, copy,
+    t.recv_ms + copy * 5000 AS recv_ms, seq % 127 > 0 AS topic_ok, seq % 131 > 0 AS size_ok,
+    seq % 101 > 0 AND seq % 103 > 0 AS object_ok, seq % 113 > 0 AS depth_ok,
+    seq % 107 > 0 AND seq % 109 > 0 AND seq % 137 > 0 AND seq % 139 > 0 AS time_ok, seq % 37 < 4 AS disconnected,
+    k % 19 > 0 AS has_kwh,
+    CASE WHEN no_time THEN (t.recv_ms + copy * 5000) // 1000 ELSE sent_s END AS obs_at
+  FROM t, (VALUES (0), (1)) c(copy) WHERE copy = 0 OR seq % 13 = 0),
+q AS (SELECT * FROM p WHERE topic_ok AND size_ok AND object_ok)"""
+
+
 def _duck_readings() -> str:
     source = "events"
     keep: list[str] = []
