@@ -72,28 +72,40 @@ def _float_range(x: Column) -> Column:
     return F.when((size <= _FLOAT_MAX) & ((size == 0) | (size >= _FLOAT_MIN)), x)
 
 
-def _candidates(top: Column, power: Column, energy: Column) -> dict[str, list[Column]]:
+def _first(candidates: list[Column], read) -> Column:
+    """The first candidate that reads as valid."""
+    return F.get(F.array_compact(F.transform(F.array(*candidates), read)), F.lit(0))
+
+
+def _as_quantity(text: Column, unit: Column, given: Column | bool) -> Column:
+    given = F.lit(given) if isinstance(given, bool) else given
+    return F.struct(text.alias("text"), unit.alias("unit"), given.alias("given"))
+
+
+def _candidates(top: Column, power: Column, energy: Column) -> dict[str, Column]:
     e_unit, e_given = top["energy_unit"], F.map_contains_key(top, F.lit("energy_unit"))
     p_unit, p_given = top["power_unit"], F.map_contains_key(top, F.lit("power_unit"))
-    kwh = [energy_quantity(top[k], e_unit, e_given) for k in ("energy", "energyformatted", "energy_formatted")]
-    kwh += [energy_quantity(energy[k], F.lit(u), True)
+    kwh = [_as_quantity(top[k], e_unit, e_given) for k in ("energy", "energyformatted", "energy_formatted")]
+    kwh += [_as_quantity(energy[k], F.lit(u), True)
             for k, u in (("total_kwh", "kWh"), ("total_wh", "Wh"), ("total_mwh", "MWh"))]
-    kwh += [energy_quantity(energy["value"], energy["unit"], True),
-            energy_quantity(power["total_active_energy_kwh"], F.lit("kWh"), True)]
+    kwh += [_as_quantity(energy["value"], energy["unit"], True),
+            _as_quantity(power["total_active_energy_kwh"], F.lit("kWh"), True)]
+    kw = [_as_quantity(power["total_kw"], F.lit("kW"), True), _as_quantity(top["power"], p_unit, p_given),
+          _as_quantity(top["kw"], F.lit("kW"), True)]
+    volts = [power["average_voltage_ll"], top["voltage"], top["volts"]]
+    amps = [power["average_current"], top["current"], top["amps"], top["amperes"]]
     return {
-        "kwh_total": kwh,
-        "v_ll_avg": [strict_number(v, True) for v in (power["average_voltage_ll"], top["voltage"], top["volts"])],
-        "i_avg": [strict_number(v, True)
-                  for v in (power["average_current"], top["current"], top["amps"], top["amperes"])],
-        "kw_total": [power_quantity(power["total_kw"], F.lit("kW"), True),
-                     power_quantity(top["power"], p_unit, p_given), power_quantity(top["kw"], F.lit("kW"), True)],
+        "kwh_total": _first(kwh, lambda c: energy_quantity(c["text"], c["unit"], c["given"])),
+        "v_ll_avg": _first(volts, lambda t: strict_number(t, True)),
+        "i_avg": _first(amps, lambda t: strict_number(t, True)),
+        "kw_total": _first(kw, lambda c: power_quantity(c["text"], c["unit"], c["given"])),
     }
 
 
 def electrical_signals(top: Column, power: Column, energy: Column) -> dict[str, Column]:
     """energy, voltage (line to line only), current and power: first valid spelling wins."""
     c = _candidates(top, power, energy)
-    return {out: F.coalesce(*c[column]) for out, column in
+    return {out: c[column] for out, column in
             (("energy", "kwh_total"), ("voltage", "v_ll_avg"), ("current", "i_avg"), ("power", "kw_total"))}
 
 
@@ -123,7 +135,7 @@ def _texts(power: Column, columns: list[str]) -> Column:
 
 def _multi(top: Column, power: Column, energy: Column) -> dict[str, Column]:
     c = _candidates(top, power, energy)
-    return {n: F.coalesce(*(v if n == "kwh_total" else [bind(x, _float_range) for x in v])) for n, v in c.items()}
+    return {n: v if n == "kwh_total" else bind(v, _float_range) for n, v in c.items()}
 
 
 def meter_columns(top: Column, power: Column, energy: Column) -> dict[str, Column]:
@@ -146,8 +158,11 @@ def meter_fields() -> dict[str, Column]:
 
 def any_readable(top: Column, power: Column, energy: Column) -> Column:
     """At least one of the 52 columns can be read."""
-    groups = [F.exists(_texts(power, columns), lambda t, read=reader: read(t).isNotNull())
-              for columns, reader in _readers()]
+
+    def found(columns, reader):
+        return F.exists(_texts(power, columns), lambda t: reader(t).isNotNull())
+
+    groups = [found(columns, reader) for columns, reader in _readers()]
     result = F.coalesce(*_multi(top, power, energy).values()).isNotNull()
     for g in groups:
         result = result | F.coalesce(g, F.lit(False))

@@ -87,7 +87,7 @@ def depth_ok(payload: Column, limit: int) -> Column:
     as it is deep.
     """
     opened = F.length(payload) - F.length(F.translate(payload, "[{", ""))
-    marks = F.regexp_replace(payload, r'"(?:[^"\\]|\\.)*"', "v")
+    marks = F.regexp_replace(F.regexp_replace(payload, r"\\.", ""), r'"[^"]*"', "v")
     marks = F.regexp_replace(marks, r"v\s*:", "")
     marks = F.regexp_replace(marks, r"[^\[\]{},\s]+", "v")
     marks = F.regexp_replace(marks, r"[,\s]+", "")
