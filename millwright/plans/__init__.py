@@ -3,7 +3,7 @@
 from importlib import import_module
 
 # one module per part of the inventory
-MODULES = ("production", "admission")
+MODULES = ("production", "admission", "alarms")
 
 
 def load():
