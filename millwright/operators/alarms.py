@@ -119,15 +119,18 @@ def close_match(requests: DataFrame, periods: DataFrame) -> DataFrame:
     last severity observation.
     """
     r = requests.select("company_id", "machine_id", "obs_at", "recv_ms", "closes", "keep", "battery_clears")
-    key = F.col("alarm_key")
-    named = F.array_contains("closes", key)
-    kept_open = is_battery_code(key) & ~F.array_contains("battery_clears", key)
-    swept = ~F.array_contains("keep", key) & ~kept_open
-    seen, at = F.col("observed_at"), F.col("obs_at")
+    key, seen, at = F.col("alarm_key"), F.col("observed_at"), F.col("obs_at")
     in_time = (F.col("started_at") <= at) & (F.coalesce(seen, F.col("started_at")) <= at) & (
         seen.isNull() | (seen != at) | (F.coalesce(F.col("observed_recv_ms"), seen * 1000) <= F.col("recv_ms")))
-    hits = periods.where(F.col("ended_at").isNull()).join(r, ["company_id", "machine_id"]).where(
-        in_time & F.when(F.col("keep").isNotNull(), swept).otherwise(named))
+    still_open = periods.where(F.col("ended_at").isNull())
+    # named keys meet their period directly; a keep list concerns every open key of its machine
+    named = still_open.join(r.where(F.col("keep").isNull()).select(
+        "company_id", "machine_id", "obs_at", "recv_ms", F.explode("closes").alias("alarm_key")), KEY).where(in_time)
+    held = is_battery_code(key) & ~F.array_contains("battery_clears", key)
+    swept = still_open.join(r.where(F.col("keep").isNotNull()), ["company_id", "machine_id"]).where(
+        in_time & ~F.array_contains("keep", key) & ~held)
+    cols = [*KEY, "started_at", "obs_at", "recv_ms"]
+    hits = named.select(*cols).unionByName(swept.select(*cols))
     return hits.groupBy(*KEY, "started_at").agg(F.min(F.struct("obs_at", "recv_ms")).alias("_c")).select(
         *KEY, "started_at", F.col("_c.obs_at").alias("ended_at"), F.col("_c.recv_ms").alias("ended_recv_ms"))
 

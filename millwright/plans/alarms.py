@@ -116,7 +116,7 @@ def severity_class(spark, d):
     return readings(spark, d).select("seq", alarm_text.severity_class(level).alias("severity_class"))
 
 
-@query("alarm_text", """WITH x AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN text END AS code,
+@query("alarm_text", """WITH x AS (SELECT doc_id, text, lang, CASE WHEN doc_id % 3 = 0 THEN text END AS code,
     CASE WHEN doc_id % 2 = 0 THEN text ELSE lang END AS kind, ' ' || source || ' ' AS level FROM documents),
 y AS (SELECT *, CASE WHEN kind <> '' THEN kind ELSE 'UNSPECIFIED' END AS whole FROM x),
 z AS (SELECT *, CASE WHEN code IS NULL THEN NULL WHEN length(code) <= 50 THEN code
@@ -268,13 +268,14 @@ def alarm_close_match(spark, d):
     return ops.close_match(requests(spark, d), stored(spark, d)).select("machine_id", "alarm_key", "started_at", "ended_at")
 
 
-@query("priority_match", f"""{AL}, {PERIODS_SQL}, nw AS (SELECT company_id, machine_id, alarm_key, severity, obs_at, recv_ms FROM ev WHERE kind <> 'close'
-    QUALIFY row_number() OVER (PARTITION BY machine_id, alarm_key ORDER BY obs_at DESC, recv_ms DESC, seq DESC) = 1)
+@query("priority_match", f"""{AL}, {PERIODS_SQL}, nw AS (SELECT company_id, machine_id, alarm_key, severity, obs_at + seq % 2 * 60 AS obs_at, recv_ms FROM ev WHERE kind <> 'close'
+    QUALIFY row_number() OVER (PARTITION BY machine_id, alarm_key ORDER BY obs_at + seq % 2 * 60 DESC, recv_ms DESC, seq DESC) = 1)
   SELECT pd.machine_id, pd.alarm_key, pd.started_at, nw.severity, nw.obs_at AS observed_at, CASE WHEN {CLASS_SQL.format('nw.severity')} <>
     {CLASS_SQL.format('pd.severity')} THEN nw.obs_at END AS priority_changed_at FROM pd JOIN nw USING (company_id, machine_id, alarm_key)
   WHERE ended_at IS NULL AND started_at <= nw.obs_at AND (observed_at < nw.obs_at OR observed_at = nw.obs_at AND observed_recv_ms < nw.recv_ms)""")
 def priority_match(spark, d):
     seen = ops.alarm_events(ops.alarm_diff(alarm_readings(spark, d), MAPPED)).where("kind <> 'close'")
+    seen = seen.withColumn("obs_at", F.col("obs_at") + F.col("seq") % 2 * 60)
     return ops.priority_match(seen, stored(spark, d)).select(
         "machine_id", "alarm_key", "started_at", "severity", "observed_at", "priority_changed_at")
 
