@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.numbers import INT2, INT4, INT8, truncated
+from millwright.functions.payload import staged
 from millwright.params import DEFAULTS, Params
 
 # fixed values: integer columns of the telemetry table and what they can hold
@@ -79,9 +80,10 @@ def parse_quarantine(lines: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]")))
     sized = F.octet_length("value") <= p.max_line_bytes
     doc = F.when(sized & F.try_variant_get(wrapped, "$[1]", "variant").isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
+    opened = staged(lines, doc=doc)
     state = (F.when(~sized, "oversized").when(F.trim("value") == "", "blank").when(F.col("doc").isNull(), "malformed")
              .otherwise("record"))
-    return lines.withColumn("doc", doc).withColumn("state", state)
+    return staged(opened, state=state)
 
 
 def quarantine_summary(parsed: DataFrame) -> DataFrame:
@@ -101,13 +103,14 @@ def quarantine_summary(parsed: DataFrame) -> DataFrame:
     texts = F.concat(F.array(
         field("telemetry_raw", "machine_status", "$.record.r.machine_status"), field("telemetry_raw", "mode", "$.record.r.mode"),
         field("telemetry_late", "reason", "$.record.l.reason"), field("ingest_gaps", "reason", "$.record.gap.reason")), of_alarm)
-    return parsed.where("state = 'record'").select(
-        "pos", _id(_path(d, "$.record.s")).alias("sequence"), row("machine_id").alias("machine_id"),
-        row("company_id").alias("company_id"), first("$.record.r.device_time", "$.record.l.device_time").alias("device_time"),
-        F.when(reason.isin(*REASONS), reason).otherwise("unclassified").alias("reason"),
-        _word(d, "$.code", "^[A-Z0-9]{5}$").alias("sqlstate"), _word(d, "$.stage", safe).alias("stage"),
-        _word(d, "$.table", safe).alias("table"), _word(d, "$.column", safe).alias("column"),
-        F.filter(texts, lambda t: t["characters"].isNotNull()).alias("text_fields"))
+    summary = dict(
+        sequence=_id(_path(d, "$.record.s")), machine_id=row("machine_id"), company_id=row("company_id"),
+        device_time=first("$.record.r.device_time", "$.record.l.device_time"),
+        reason=F.when(reason.isin(*REASONS), reason).otherwise("unclassified"),
+        sqlstate=_word(d, "$.code", "^[A-Z0-9]{5}$"), stage=_word(d, "$.stage", safe),
+        table=_word(d, "$.table", safe), column=_word(d, "$.column", safe),
+        text_fields=F.filter(texts, lambda t: t["characters"].isNotNull()))
+    return staged(parsed.where("state = 'record'").select("pos", "doc"), **summary).drop("doc")
 
 
 def _camel(name: str) -> str:

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 # one module per part of the inventory
-MODULES = ("production", "admission", "alarms", "signals", "records")
+MODULES = ("production", "admission", "alarms", "signals", "records", "streams")
 
 
 def load():

@@ -225,7 +225,7 @@ def hourly_upsert(spark, d):
     """Two batches added to the table one after the other equal one aggregation of everything."""
     from millwright.session import materialise
     slices = materialise(production.production_slices(
-        steps_of(spark, d).where("seq >= 0"), shift_calendar(shifts(spark, d)), MAPPED))
+        steps_of(spark, d), shift_calendar(shifts(spark, d)), MAPPED))
     half = F.pmod(F.hash("machine_id", "hour_start", "run", "energy"), F.lit(2)) == 0
     first, second = production.production_hourly(slices.where(half)), production.production_hourly(slices.where(~half))
     return production.merge_hourly(first, second).withColumn("energy_kwh", F.round("energy_kwh", 6))
