@@ -215,16 +215,20 @@ def production_hourly(slices: DataFrame) -> DataFrame:
     )
 
 
-def merge_hourly(stored: DataFrame, delta: DataFrame) -> DataFrame:
-    """Stored hourly rows with a batch's totals added."""
-    key = ["machine_id", "shift_id", "hour_start"]
-    return stored.unionByName(delta).groupBy(*key).agg(
+def sum_hourly(rows: DataFrame) -> DataFrame:
+    """Hourly rows of several batches added up per key."""
+    return rows.groupBy("machine_id", "shift_id", "hour_start").agg(
         F.min("company_id").alias("company_id"),
         *[F.sum(c).alias(c) for c in
           ("run_seconds", "idle_seconds", "manual_seconds", "produced_qty", "energy_kwh")],
     )
 
 
+def merge_hourly(stored: DataFrame, delta: DataFrame) -> DataFrame:
+    """Stored hourly rows with a batch's totals added."""
+    return sum_hourly(stored.unionByName(delta))
+
+
 def unallocated_totals(gaps: DataFrame) -> DataFrame:
     """Per machine: parts and energy no hour could take, and the latest gap."""
     newest = F.max_by(F.struct("gap_from", "gap_to"), "seq")

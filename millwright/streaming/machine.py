@@ -26,6 +26,10 @@ READING = ("seq BIGINT, machine_id BIGINT, company_id BIGINT, obs_at BIGINT, rec
 TABLES = ("late", "hourly", "gaps", "alarm_events", "state", "stats")
 
 
+def reading_columns() -> list[str]:
+    return ["seq", "machine_id", "company_id", "obs_at", "recv_ms", "machine_status", "mode", "parts_count", "energy", "alarms"]
+
+
 class MachineStream:
     """Writes late, hourly, gaps, alarm_events, stats and state tables below ``root``.
 
@@ -85,7 +89,7 @@ class MachineStream:
     def _state(self, steps: DataFrame) -> DataFrame:
         """Seed rows for the next micro-batch: the last reading, and before it the last real meter reading."""
         c = F.col("parts_count")
-        own = [n.split()[0] for n in READING.split(", ") if n.split()[0] != "severity:"]
+        own = reading_columns()
         base = steps.withColumn("_baseline", production.counter_after(F.col("baseline_before"), c, self.p))
         row = F.struct(*own, "_baseline")
         per = base.groupBy("machine_id").agg(
@@ -107,8 +111,7 @@ class MachineStream:
 
     def hourly(self, spark: SparkSession) -> DataFrame:
         """Deltas of all micro-batches, added up."""
-        deltas = self.read(spark, "hourly").drop("batch_id")
-        return production.merge_hourly(deltas.limit(0), deltas)
+        return production.sum_hourly(self.read(spark, "hourly"))
 
     def live(self, spark: SparkSession, batch_id: int, now_s: int) -> DataFrame:
         """Latest state per machine after a micro-batch, while it is fresh."""
