@@ -5,30 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millwright.functions.payload import trimmed
+from millwright.functions.payload import bind, trimmed
 
 INT2 = (-32_768, 32_767)
 INT4 = (-2_147_483_648, 2_147_483_647)
 INT8 = (-9_007_199_254_740_991, 9_007_199_254_740_991)
 
 _PREFIX = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
-_WHOLE = r"^[+-]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d+)?$"
+_PLAIN = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)$"
+_WHOLE = r"^([+-]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d+)?)$"
 _QUANTITY = r"^([+-]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d+)?)\s*([A-Za-z]+)?$"
+_LARGEST = 1.7976931348623157e308
 
 # fixed values: factor to the canonical unit, as multiply (positive) or divide (negative)
 ENERGY_UNITS = {"wh": -1000, "kwh": 1, "mwh": 1000}
 POWER_UNITS = {"w": -1000, "kw": 1, "mw": 1000}
 
 
-def finite(x: Column) -> Column:
-    return F.when((F.abs(x) != float("inf")) & ~F.isnan(x), x)
+def _read(text: Column, digits, body) -> Column:
+    """``body(number)`` for the finite number in ``digits(text)``; nothing is evaluated for a null text.
+
+    Text without a match yields '', which no cast accepts.
+    """
+    return F.when(text.isNotNull(), bind(digits(text).try_cast("double"), lambda n: F.when(
+        n.between(-_LARGEST, _LARGEST), body(n))))
+
+
+def _same(n: Column) -> Column:
+    return n
+
+
+def _leading(text: Column) -> Column:
+    return F.regexp_extract(F.regexp_replace(text, r"^([^,]*),", "$1."), _PREFIX, 1)
 
 
 def lenient_number(text: Column) -> Column:
     """The number a text begins with, its first comma read as a decimal point."""
-    pointed = F.regexp_replace(text, r"^([^,]*),", "$1.")
-    digits = F.regexp_extract(pointed, _PREFIX, 1)
-    return finite(F.when(digits != "", digits).try_cast("double"))
+    return _read(text, _leading, _same)
 
 
 def truncated(x: Column) -> Column:
@@ -37,38 +50,40 @@ def truncated(x: Column) -> Column:
 
 
 def lenient_int(text: Column) -> Column:
-    return truncated(lenient_number(text)).try_cast("long")
+    return _read(text, _leading, lambda n: truncated(n).try_cast("long"))
+
+
+def lenient_in_range(text: Column, bounds: tuple[int, int]) -> Column:
+    """The leading number truncated toward zero when it fits the column, else null."""
+    return _read(text, _leading, lambda n: in_range(n, bounds))
 
 
 def temperature(text: Column) -> Column:
     """Zero and below mean that there is no sensor."""
-    n = lenient_number(text)
-    return F.when(n > 0, n)
+    return _read(text, _leading, lambda n: F.when(n > 0, n))
 
 
 def strict_number(text: Column, unsigned: bool = False) -> Column:
     """A complete finite number; text around it makes it unreadable."""
-    t = trimmed(text)
-    n = finite(F.when(t.rlike(_WHOLE), F.translate(t, ",", ".")).try_cast("double"))
-    return F.when(n >= 0, n) if unsigned else n
+    digits = lambda t: F.translate(F.regexp_extract(trimmed(t), _WHOLE, 1), ",", ".")
+    return _read(text, digits, (lambda n: F.when(n >= 0, n)) if unsigned else _same)
 
 
 def plain_number(text: Column) -> Column:
     """A complete finite number with a decimal point."""
-    t = trimmed(text)
-    return finite(F.when(t.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), t).try_cast("double"))
+    return _read(text, lambda t: F.regexp_extract(trimmed(t), _PLAIN, 1), _same)
 
 
 def strict_count(text: Column) -> Column:
     """Whole number 0..2147483647, from a number or numeric text."""
-    n = plain_number(text)
-    return F.when((n >= 0) & (n <= INT4[1]) & (n % 1 == 0), n.cast("long"))
+    return _read(text, lambda t: F.regexp_extract(trimmed(t), _PLAIN, 1),
+                 lambda n: F.when((n >= 0) & (n <= INT4[1]) & (n % 1 == 0), n.cast("long")))
 
 
 def in_range(n: Column, bounds: tuple[int, int]) -> Column:
     """Truncated toward zero when it fits the column, else null."""
-    t = truncated(n)
-    return F.when(t.between(*bounds), t.cast("long"))
+    low, high = bounds
+    return F.when((n > low - 1) & (n < high + 1) & (F.abs(n) <= INT8[1]), truncated(n).cast("long"))
 
 
 def _unit_key(unit: Column) -> Column:
@@ -85,26 +100,29 @@ def quantity(text: Column, units: dict[str, int], canonical: str, unsigned: bool
     any suffix.
     """
     given = F.lit(unit_given) if isinstance(unit_given, bool) else unit_given
-    explicit = _unit_key(unit if unit is not None else F.lit(None).cast("string"))
-    t = trimmed(text)
-    n = finite(F.translate(F.regexp_extract(t, _QUANTITY, 1), ",", ".").try_cast("double"))
-    written = F.regexp_extract(t, _QUANTITY, 2)
-    has_suffix = written != ""
-    suffix = _unit_key(written)
     known = list(units)
-    ok = t.rlike(_QUANTITY) & n.isNotNull()
-    if unsigned:
-        ok = ok & (n >= 0)
-    ok = ok & F.when(has_suffix, F.coalesce(suffix.isin(*known), F.lit(False))).otherwise(True)
-    ok = ok & F.when(given, F.coalesce(explicit.isin(*known), F.lit(False))).otherwise(True)
-    ok = ok & F.when(given & has_suffix, F.coalesce(suffix == explicit, F.lit(False))).otherwise(True)
-    used = F.when(has_suffix, suffix).when(given, explicit).otherwise(F.lit(canonical))
-    value = F.when(used == canonical, n)
-    for name, factor in units.items():
-        if name != canonical:
-            value = value.when(used == name, n / -factor if factor < 0 else n * factor)
-    kept = F.when(ok, finite(value))
-    return F.when(kept == 0, F.when(n == 0, F.lit(0.0))).otherwise(kept)
+    known_word = lambda c: F.coalesce(c.isin(*known), F.lit(False))
+
+    def scaled(q):
+        used = F.when(q["suffixed"], q["suffix"]).when(q["given"], q["explicit"]).otherwise(F.lit(canonical))
+        value = F.when(used == canonical, q["n"])
+        for name, factor in units.items():
+            if name != canonical:
+                value = value.when(used == name, q["n"] / -factor if factor < 0 else q["n"] * factor)
+        agrees = (~q["suffixed"] | known_word(q["suffix"])) & (~q["given"] | known_word(q["explicit"])) & (
+            ~q["suffixed"] | ~q["given"] | F.coalesce(q["suffix"] == q["explicit"], F.lit(False)))
+        readable = q["n"].between(-_LARGEST, _LARGEST) & ((q["n"] >= 0) if unsigned else F.lit(True))
+        fits = lambda v: F.when(v.between(-_LARGEST, _LARGEST) & ((v != 0) | (q["n"] == 0)), F.when(v == 0, 0.0).otherwise(v))
+        return F.when(readable & agrees, bind(value, fits))
+
+    def parts(t):
+        written = F.regexp_extract(t, _QUANTITY, 2)
+        return F.struct(
+            F.translate(F.regexp_extract(t, _QUANTITY, 1), ",", ".").try_cast("double").alias("n"),
+            (written != "").alias("suffixed"), _unit_key(written).alias("suffix"), given.alias("given"),
+            _unit_key(unit if unit is not None else F.lit(None).cast("string")).alias("explicit"))
+
+    return F.when(text.isNotNull(), bind(parts(trimmed(text)), scaled))
 
 
 def energy_quantity(text: Column, unit: Column | None = None, unit_given: Column | bool = False) -> Column:

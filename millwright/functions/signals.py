@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millwright.functions.numbers import INT2, INT4, INT8, in_range, lenient_number, temperature
-from millwright.functions.payload import bind, block_of, last_wins, trimmed, variants_of
+from millwright.functions.numbers import INT2, INT4, INT8, lenient_in_range, lenient_number, temperature
+from millwright.functions.payload import bind, block_of, last_wins, trimmed
 from millwright.params import DEFAULTS
 
 # fixed values: output column prefix <- accepted keys of the per-axis map, and whether zero means "no sensor"
@@ -101,7 +101,7 @@ def condition_columns(f: Column) -> dict[str, Column]:
         "cnc_battery_voltage": lenient_number(f["cnc_battery"]),
         "apc_battery_voltage": lenient_number(f["apc_battery"]),
         "apc_battery_status": battery_flags(f["battery"]),
-        "sequence_number": in_range(lenient_number(first_of(f, "current_sequence_number", "sequence_number")), INT4),
+        "sequence_number": lenient_in_range(first_of(f, "current_sequence_number", "sequence_number"), INT4),
         "fan_status": F.coalesce(fan_status(f["cnc_fans"]), fan_status(f["fans"])),
     }
 
@@ -113,11 +113,11 @@ def process_columns(f: Column) -> dict[str, Column]:
         "cutting_speed": number(first_of(f, "cutting_speed", "surface_speed")),
         "feed_rate": number(f["feed_rate"]),
         "spindle_load": number(f["spindle_load"]),
-        "program_number": in_range(number(first_of(f, "program_number", "program_no", "o_number")), INT4),
-        "total_run_time": in_range(number(first_of(f, "total_run_time", "powered_on_time")), INT8),
-        "total_cutting_time": in_range(number(first_of(f, "total_cutting_time", "cutting_time")), INT8),
-        "run_time": in_range(number(f["run_time"]), INT4),
-        "status": in_range(number(f["status"]), INT2),
+        "program_number": lenient_in_range(first_of(f, "program_number", "program_no", "o_number"), INT4),
+        "total_run_time": lenient_in_range(first_of(f, "total_run_time", "powered_on_time"), INT8),
+        "total_cutting_time": lenient_in_range(first_of(f, "total_cutting_time", "cutting_time"), INT8),
+        "run_time": lenient_in_range(f["run_time"], INT4),
+        "status": lenient_in_range(f["status"], INT2),
         "mode": F.substring(f["mode"], 1, 64),
     }
 

@@ -149,7 +149,8 @@ _LANDED: dict[tuple[str, str], DataFrame] = {}
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw packets (seq, topic, payload, recv_ms): every event as JSON, every 13th delivered twice.
 
-    Landed once per application as a Parquet table, as raw packets would be.
+    Landed once per application as a Parquet table, as raw packets would be, in
+    enough files to parse them on every core.
     """
     sent = readings(spark, sf_dir).selectExpr(
         "seq", "machine_id", f"{_PAYLOAD} AS payload", "recv_ms",
@@ -158,7 +159,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = sent.selectExpr("seq * 2 + copy AS seq", "topic", "payload", "recv_ms + copy * 5000 AS recv_ms")
     landed = (spark.sparkContext.applicationId, sf_dir)
     if landed not in _LANDED:
-        _LANDED[landed] = scratch_table(packets, "packets")
+        _LANDED[landed] = scratch_table(packets.repartition(spark.sparkContext.defaultParallelism * 2), "packets")
     return _LANDED[landed]
 
 
