@@ -16,8 +16,10 @@ from millwright.plans.catalog import query
 from millwright.plans.mapping import FLEET, MAPPED, fleet, messages, registry, shifts
 from millwright.plans.production import BOOKINGS_SQL, GAPS_SQL, STEPS
 from millwright.session import checkpoint_dir, scratch_table
+from millwright.streaming import stateful
 from millwright.streaming.dedup import without_copies
 from millwright.streaming.machine import READING, MachineStream
+from millwright.streaming.stateful import use_rocksdb
 
 PARTS = 3
 _RUNS: dict[tuple[str, str, str], MachineStream] = {}
@@ -107,3 +109,40 @@ def stream_dedup(spark, d):
     stream.writeStream.format("parquet").option("checkpointLocation", os.path.join(root, "checkpoint")).option(
         "path", os.path.join(root, "out")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(os.path.join(root, "out")).groupBy("machine_id").agg(F.count("*").alias("messages"))
+
+
+@query("restart_state", f"""{STEPS} SELECT machine_id, max(seq) AS seq, CAST(max_by(coalesce(g5.baseline, -1), seq) AS BIGINT) AS baseline,
+  max_by(machine_status, seq) AS machine_status FROM g5 GROUP BY 1""")
+def restart_state(spark, d):
+    """What the next start continues from: the last reading of every machine with its counter baseline."""
+    state = spark.read.schema(READING).parquet(run(spark, d).path("state", PARTS - 1))
+    newest = F.max_by(F.struct("seq", F.coalesce("parts_count", F.lit(-1)).alias("baseline"), "machine_status"), "seq")
+    return state.groupBy("machine_id").agg(newest.alias("_n")).select("machine_id", "_n.*")
+
+
+def _through(spark, rows, name, operator, time):
+    """Land ``rows`` in two steps along ``time`` and run the stateful operator over each."""
+    use_rocksdb(spark)
+    root = os.path.join(checkpoint_dir(spark), f"{name}-{os.urandom(6).hex()}")
+    landed = scratch_table(rows, name)
+    cut = landed.agg(((F.min(time) + F.max(time)) / 2).cast("long")).first()[0]
+    out = os.path.join(root, "out")
+    for i, part in enumerate((F.col(time) <= cut, F.col(time) > cut)):
+        landed.where(part).write.parquet(os.path.join(root, "in", f"step={i}"))
+        stream = operator(spark.readStream.schema(landed.schema).parquet(os.path.join(root, "in", "*")), MAPPED)
+        stream.writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("lag_alerts")
+def lag_alerts_query(spark, d):
+    rows = fleet(spark, d, "plant_id").select("plant_id", "machine_id", "seq", "recv_ms", "lag_ms")
+    return _through(spark, stateful.machine_windows(rows, MAPPED), "alerts", stateful.lag_alerts, "window_start").withColumn(
+        "machines", F.array_join("machines", ","))
+
+
+@query("identity_rate_limit")
+def identity_rate_limit(spark, d):
+    rows = fleet(spark, d).select("machine_id", "seq", "recv_ms", F.expr("concat('s', k div 50)").alias("identity"))
+    return _through(spark, rows, "identity", stateful.identity_writes, "seq")
