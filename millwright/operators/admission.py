@@ -107,17 +107,20 @@ def meter_order(rows: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return four.withColumn("used", used).drop("_candidate", "_base")
 
 
-def classify(messages: DataFrame, machines: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """One outcome per message: seq, machine_id, company_id, obs_at, recv_ms, is_energy, outcome.
+def classify(messages: DataFrame, machines: DataFrame, p: Params = DEFAULTS, with_readings: bool = False) -> DataFrame:
+    """One outcome per message: seq, machine_id, company_id, obs_at, recv_ms, is_energy, has_reading, outcome.
 
     The parsed columns are narrow and read by several scans, so they are
-    written once.
+    written once. ``has_reading`` (any meter column can be read) is worked out
+    for snapshots only ``with_readings``; a meter-only packet always has one.
     """
     parsed = parse(messages, p)
-    slim = staged(parsed, **meter.electrical_signals(F.col("fields"), F.col("power"), F.col("energy_data"))).select(
+    blocks = (F.col("fields"), F.col("power"), F.col("energy_data"))
+    own = F.coalesce(meter.any_readable(*blocks), F.lit(False)) if with_readings else F.lit(False)
+    slim = staged(parsed, **meter.electrical_signals(*blocks), has_reading=F.col("is_energy") | own).select(
         "seq", "api_key", "recv_ms", "envelope_ok", "disconnected", "is_energy",
         F.when(F.col("envelope_ok"), F.col("time_s").cast("long")).alias("obs_at"),
-        F.col("energy").isNotNull().alias("_has_kwh"),
+        F.col("energy").isNotNull().alias("_has_kwh"), "has_reading",
         F.when(F.col("envelope_ok"), fingerprint(F.col("payload"), F.col("time_s").cast("long"))).alias("fingerprint"))
     known = active_machines(machines).select("api_key", "machine_id", "company_id")
     rows = materialise(slim.join(known, "api_key", "left"))
@@ -141,8 +144,17 @@ def classify(messages: DataFrame, machines: DataFrame, p: Params = DEFAULTS) ->
         .when(F.col("_copy_seq").isNotNull(), "duplicate").when(F.col("disconnected"), "disconnected")
         .when(is_stale(lag_ms, p), "late_stale").when(F.col("_late_seq").isNotNull(), "late_out_of_order")
         .otherwise("accepted"))
-    return joined.select("seq", "machine_id", "company_id", "obs_at", "recv_ms", "is_energy", outcome.alias("outcome"))
+    return joined.select("seq", "machine_id", "company_id", "obs_at", "recv_ms", "is_energy", "has_reading",
+                         outcome.alias("outcome"))
 
 
 def outcome_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("outcome").agg(F.count("*").alias("messages"))
+
+
+def energy_counts(classified: DataFrame) -> DataFrame:
+    """Meter-only packets taken in, and messages that came late with a meter reading of their own."""
+    late = F.col("outcome").isin("late_stale", "late_out_of_order")
+    return classified.agg(
+        F.count_if((F.col("outcome") == "accepted") & F.col("is_energy")).alias("energy_accepted"),
+        F.count_if(late & F.col("has_reading")).alias("energy_late_accepted"))

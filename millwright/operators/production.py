@@ -248,3 +248,10 @@ def same_second(steps: DataFrame) -> DataFrame:
     return steps.select("seq", "company_id", "machine_id", "obs_at", hour_start(F.col("obs_at")).alias("hour_start"),
                         parts.cast("long").alias("produced"), kwh.alias("energy")
                         ).where((F.col("produced") > 0) | (F.col("energy") > 0))
+
+
+def processing_counters(steps: DataFrame) -> DataFrame:
+    """Backward counters, and the parts counted as unallocated: those of every reading that left a gap record."""
+    gap = F.col("long_gap") | F.col("long_meter_gap")
+    return steps.agg(F.count_if("regressed").alias("parts_counter_regression"),
+                     F.sum(F.when(gap, F.col("produced")).otherwise(0)).cast("long").alias("unallocated_parts"))

@@ -157,3 +157,9 @@ def classify_outcome(spark, d):
 @query("outcome_counts", f"{MSG}, {OUTCOME_SQL} SELECT outcome, count(*) AS messages FROM oc GROUP BY 1")
 def outcome_counts(spark, d):
     return ops.outcome_counts(ops.classify(messages(spark, d), registry(spark, d), SENT))
+
+
+@query("energy_counts", f"""{MSG}, {OUTCOME_SQL} SELECT count(*) FILTER (WHERE outcome = 'accepted' AND standalone) AS energy_accepted,
+  count(*) FILTER (WHERE outcome IN ('late_stale', 'late_out_of_order')) AS energy_late_accepted FROM oc""")
+def energy_counts(spark, d):
+    return ops.energy_counts(ops.classify(messages(spark, d), registry(spark, d), SENT, with_readings=True))

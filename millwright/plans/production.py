@@ -242,3 +242,9 @@ def production_hourly(spark, d):
 def energy_allocation(spark, d):
     s = ops.production_slices(steps_of(spark, d), CAL(shifts(spark, d)), MAPPED).where(F.col("energy") > 0)
     return s.groupBy("machine_id", "shift_id", "hour_start").agg(F.round(F.sum("energy"), 6).alias("energy_kwh"))
+
+
+@query("processing_counters", f"""{STEPS} SELECT count(*) FILTER (WHERE regressed) AS parts_counter_regression,
+  CAST(sum(CASE WHEN long_gap OR long_meter_gap THEN produced ELSE 0 END) AS BIGINT) AS unallocated_parts FROM g5""")
+def processing_counters(spark, d):
+    return ops.processing_counters(steps_of(spark, d))

@@ -5,7 +5,9 @@ import os
 from pyspark.sql import functions as F
 
 from millwright.params import Params
+from millwright.sources.sinks import write_by_day
 from millwright.streaming import stateful
+from millwright.streaming.machine import READING, MachineStream
 
 
 def drain(spark, rows, operator, p, path, order, cut):
@@ -41,3 +43,38 @@ def test_lag_alerts(spark, tmp_path):
         spark, windows, stateful.lag_alerts, Params(), str(tmp_path), "window_start", 150))
     assert got == [(0, "late", "warn", (1,)), (2, "late", "warn", (1, 2)), (3, "late", "error", (1,)), (4, "recovered", "info", (2,)),
                    (19, "late", "error", (1,)), (20, "recovered", "info", (1,))]
+
+
+def test_machine_stream_survives_repeats_and_a_lost_dimension(spark, tmp_path):
+    from tests.test_production import calendar, fleet
+    rows = [(seq, m, c, at, at * 1000, status, mode, count, kwh, [("EX1", "LOW")] if (count or 0) > 5 else [])
+            for m, c, seq, at, status, mode, count, kwh in fleet(9, 120)]
+    df = spark.createDataFrame(rows, READING)
+    reads = []
+
+    def dimension(s):
+        reads.append(1)
+        if len(reads) == 3:
+            raise OSError("dimension table is being replaced")
+        return calendar(s)
+
+    p = Params(chunk_seqs=16)
+    whole = MachineStream(str(tmp_path / "whole"), calendar, p)
+    whole.process(df, 0)
+    parts = MachineStream(str(tmp_path / "parts"), dimension, p)
+    for batch, cond in ((0, "seq < 50"), (1, "seq >= 50"), (1, "seq >= 50")):
+        parts.process(df.where(cond), batch)
+
+    def told(job):
+        key = lambda out: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in out.collect())
+        return (key(job.hourly(spark)), key(job.read(spark, "gaps").drop("batch_id")), key(job.read(spark, "alarm_events").drop("batch_id")))
+
+    assert told(whole) == told(parts)
+
+
+def test_rows_are_partitioned_by_receipt_day(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, 1_704_067_199_000), (2, 1_704_067_200_000)], "seq BIGINT, recv_ms BIGINT")
+    write_by_day(df, path)
+    got = {(r.seq, str(r.received_on)) for r in spark.read.parquet(path).collect()}
+    assert got == {(1, "2023-12-31"), (2, "2024-01-01")}
