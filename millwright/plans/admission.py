@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millwright.functions.payload import canonical, depth_ok, fingerprint, object_of, staged
 from millwright.operators import admission as ops
 from millwright.plans.catalog import query
-from millwright.plans.mapping import FLEET, MAPPED, MESSAGES_SQL, SENT, fleet, messages, readings, registry
+from millwright.plans.mapping import FLEET, MAPPED, MESSAGES_SQL, SENT, fleet, messages, registry
 from millwright.session import checkpoint_dir, materialise
 from millwright.sources.messages import read_messages
 

@@ -9,7 +9,6 @@ from millwright.functions.status import machine_status, status_alarm
 from millwright.operators import production as ops
 from millwright.operators import registry as reg
 from millwright.operators import shifts as shift_ops
-from millwright.operators.scan import prev, scan
 from millwright.plans.catalog import query
 from millwright.plans.mapping import FLEET, MAPPED, READINGS_SQL, REGISTRY_SQL, SHIFTS_SQL, ACTIVE_SQL
 from millwright.plans.mapping import fleet, readings, registry, shifts
