@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from millwright.llm.bpe import round_trip_digests
+from millwright.llm.neighbours import nearest
+from millwright.llm.quality import DEFAULTS as QUALITY, held_out, score_texts, train_quality
 from millwright.llm.sharding import shard_documents
+from millwright.llm.topk import exact_topk
+from millwright.llm.toxicity import CATEGORIES, DEFAULTS as TOXICITY, score_toxicity, train_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,4 +33,52 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents over eight shards of near-equal bytes, equal texts together where the tolerance allows it."""
     docs = _documents(spark, sf_dir).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
-    return shard_documents(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shard_documents(docs, carry=["doc_id", "text_crc32"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query
+def op2_approximation_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector among all others."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return exact_topk(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+ORACLES["op2_approximation_file_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.w) + 1), i -> q.w[i] * c.w[i])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@_query
+def op3_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest of every twentieth vector among all others, by relaxed vantage-point trees."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
+@_query
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text and what they decode to, as checksums."""
+    return round_trip_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain's probability of every category for every document, and the decision."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), *CATEGORIES[:-1], F.col("toxic").alias("score"),
+                         (F.col("toxic") >= TOXICITY.threshold).cast("int").alias("predicted"))
+
+
+@_query
+def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of good quality for every document, by averaged subword vectors."""
+    docs = _documents(spark, sf_dir)
+    scored = score_texts(docs, train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= QUALITY.threshold).cast("int").alias("predicted"))

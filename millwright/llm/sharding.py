@@ -74,21 +74,23 @@ def histogram_sort(rows: DataFrame, shards: int, tolerance: float = 0.01, leaf_r
     whichever is less (128 at least).
     """
     spark = rows.sparkSession
-    labelled, leaves, pending = rows.withColumn("node", F.lit("")), {}, {"": 3}
-    while pending:
-        parents = spark.createDataFrame(list(pending.items()), "parent string, digits int")
-        labelled = labelled.join(F.broadcast(parents), F.col("node") == F.col("parent"), "left")
-        children = labelled.where("digits is not null").withColumn("node", F.expr("substring(key, 1, digits)"))
+    labelled, leaves, pending = rows.withColumn("node", F.expr("substring(key, 1, 3)")), {}, {}
+    children = labelled
+    while True:
         counted = children.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("key").alias("low"), F.max("key").alias("high"))
         for parent in pending:
             leaves.pop(parent, None)
         leaves |= {r.node: Leaf(r.node, r.n, r["size"], r.low, r.high) for r in counted.collect()}
-        labelled = labelled.withColumn("node", F.expr("coalesce(substring(key, 1, digits), node)")).drop("parent", "digits")
         order = sorted(leaves.values(), key=lambda leaf: leaf.prefix)
         most = min(leaf_rows, max(128, sum(leaf.rows for leaf in order) // 512))
         cuts, refine = _splitters(order, shards, tolerance)
         chosen = [order[i] for i in refine] + [leaf for leaf in order if leaf.rows > most and leaf.low != leaf.high]
         pending = {leaf.prefix: leaf.deeper for leaf in chosen if len(leaf.prefix) < KEY_DIGITS}
+        if not pending:
+            break
+        parents = spark.createDataFrame(list(pending.items()), "parent string, digits int")
+        split = labelled.join(F.broadcast(parents), F.col("node") == F.col("parent"), "left").withColumn("node", F.expr("coalesce(substring(key, 1, digits), node)"))
+        children, labelled = split.where("digits is not null"), split.drop("parent", "digits")
     placed, filled = [], [0] * shards
     for i, leaf in enumerate(order):
         shard = sum(cut <= i for cut in cuts)
@@ -100,15 +102,16 @@ def histogram_sort(rows: DataFrame, shards: int, tolerance: float = 0.01, leaf_r
             .drop("node", "leaf", "below"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``size`` (UTF-8 bytes of the text plus 1), ``shard`` and ``slot``.
+def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, id_col: str = "doc_id", text_col: str = "text",
+                    carry: list[str] | None = None) -> DataFrame:
+    """All rows and columns (or those to ``carry``) of ``docs`` with ``size`` (UTF-8 bytes of the text plus 1), ``shard`` and ``slot``.
 
     A null text has size 1 and stands with the empty ones. Repeated rows are kept and numbered apart. An empty table
     gives an empty result. Columns of the input named size, shard or slot are replaced; other columns pass through.
     The keyed rows are written once, so that every round counts the same keys even after an executor is lost.
     """
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 1
-    carried = [c for c in docs.columns if c.lower() not in ("size", "shard", "slot")]
+    carried = [c for c in carry or docs.columns if c.lower() not in ("size", "shard", "slot")]
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row"), sort_key(id_col, text_col).alias("key"), size.alias("size"))
     placed = histogram_sort(scratch_table(keyed, "shard-keys"), shards, tolerance)
     return placed.select("row.*", "size", "shard", "slot")
