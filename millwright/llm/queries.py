@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from millwright.llm.bpe import round_trip_digests
+from millwright.llm.minhash import NearParams, near_duplicates
 from millwright.llm.neighbours import nearest
+from millwright.llm.packing import pack_documents
 from millwright.llm.quality import DEFAULTS as QUALITY, held_out, score_texts, train_quality
 from millwright.llm.sharding import shard_documents
 from millwright.llm.topk import exact_topk
@@ -66,6 +68,18 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@_query
+def op6_bottom_k_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by three-word shingles and a similarity of 0.85, by component."""
+    return near_duplicates(_documents(spark, sf_dir), NearParams(words=3, percent=85))
+
+
+@_query
+def op7_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents in sequences of at most 2048."""
+    return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @_query
 def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain's probability of every category for every document, and the decision."""
