@@ -14,6 +14,7 @@ from millwright.llm.minhash import NearParams, near_duplicates
 from millwright.llm.neighbours import nearest
 from millwright.llm.packing import pack_documents
 from millwright.llm.quality import DEFAULTS as QUALITY, held_out, score_texts, train_quality
+from millwright.llm.repeats import removal_digests
 from millwright.llm.sharding import shard_documents
 from millwright.llm.topk import exact_topk
 from millwright.llm.toxicity import CATEGORIES, DEFAULTS as TOXICITY, score_toxicity, train_toxicity
@@ -96,3 +97,9 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     scored = score_texts(docs, train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= QUALITY.threshold).cast("int").alias("predicted"))
+
+
+@_query
+def op4_merged_transform_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of every 400-byte string that starts at two places or more, as counts and a checksum."""
+    return removal_digests(_documents(spark, sf_dir), 400)
