@@ -2,12 +2,44 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from millwright.llm.minhash import keep_one
+from millwright.llm.packing import pack_documents
+from millwright.llm.quality import keep_quality
+from millwright.llm.repeats import without_repeats
+from millwright.llm.toxicity import drop_toxic
 from millwright.session import scratch_table
 
-STAGES: list = []
-ORACLE_SQL = None  # no stage with a trained model can be written in SQL; tests/llm hold it against plain versions
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the subword classifier, trained on the labels, does not reject."""
+    return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not call toxic."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return keep_one(docs)
+
+
+def no_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 400 bytes or more that stand at two places or more."""
+    return without_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents in sequences of at most 2048."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", good_quality), ("toxicity", not_toxic), ("near_duplicates", one_of_each), ("repeats", no_long_repeats), ("packing", packed)]
+ORACLE_SQL = None  # the stages with trained models cannot be written in SQL; tests/llm hold every stage against a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

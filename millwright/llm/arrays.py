@@ -49,14 +49,16 @@ class Prefixes:
     """Hashes of any byte range of one array, from running sums: equal ranges hash alike wherever they stand."""
 
     def __init__(self, data: np.ndarray, seed: int = 0):
+        """``data``: bytes, or any 64-bit numbers that are hashes themselves."""
         n = len(data)
+        values = _SEEDED[seed][data] if data.dtype == np.uint8 else mixed(data + np.uint64(seed)) | np.uint64(1)
         steps = np.full(n + 1, _ODD, dtype=np.uint64)
         steps[0] = 1
         power = np.cumprod(steps)
         steps[1:] = _INVERSE
         self._undo = np.cumprod(steps)
         self._sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_SEEDED[seed][data] * power[:n], out=self._sums[1:])
+        np.cumsum(values * power[:n], out=self._sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self._sums[end] - self._sums[start]) * self._undo[start] + (end - start).astype(np.uint64))
@@ -85,11 +87,3 @@ def lowered(data: np.ndarray) -> np.ndarray:
     """A to Z in lower case, every other byte as it is."""
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
-
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of every range, one after another."""
-    total = int(lengths.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    first = np.cumsum(lengths) - lengths
-    return np.arange(total) - np.repeat(first - starts, lengths)

@@ -15,6 +15,7 @@ from millwright.llm.neighbours import nearest
 from millwright.llm.packing import pack_documents
 from millwright.llm.quality import DEFAULTS as QUALITY, held_out, score_texts, train_quality
 from millwright.llm.repeats import removal_digests
+from millwright.llm.sentences import without_repeated_sentences
 from millwright.llm.sharding import shard_documents
 from millwright.llm.topk import exact_topk
 from millwright.llm.toxicity import CATEGORIES, DEFAULTS as TOXICITY, score_toxicity, train_toxicity
@@ -103,3 +104,9 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_merged_transform_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the bytes of every 400-byte string that starts at two places or more, as counts and a checksum."""
     return removal_digests(_documents(spark, sf_dir), 400)
+
+
+@_query
+def op8_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the sentences of any span that stands at an earlier place too."""
+    return without_repeated_sentences(_documents(spark, sf_dir))
