@@ -13,12 +13,15 @@ from __future__ import annotations
 import pickle
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.vectors import INDEX_BLOCK, QUERY_BLOCK, blocks_of, packed, search
+from millwright.llm.vectors import INDEX_BLOCK, QUERY_BLOCK, blocks_of, packed, search, vector_arrays
 
-FACTOR = 5.0
+FACTORS = (8.0, 6.0, 5.0, 4.0, 3.0, 2.5, 2.0, 1.5, 1.2)
+RECALL = 0.97  # on the sample that the factor is chosen by
+SAMPLE_QUERIES = 128
 LEAF = 64
 STEP = 8  # leaves that a query visits before it looks at its k-th distance again
 QUERIES_AT_ONCE = 256
@@ -114,14 +117,36 @@ def answer_block(index_body: bytes, query_body: bytes, k: int, factor: float) ->
     return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = FACTOR, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def chosen_factor(vectors: DataFrame, k: int, id_col: str, vec_col: str) -> float:
+    """The largest of ``FACTORS`` that keeps ``RECALL`` of the exact result, measured on a tree of a bounded sample, else 1.
+
+    How far bounds can be trusted depends on the vectors. The sample is a block of the index and as many queries as
+    ``SAMPLE_QUERIES``, by a hash of the identifier.
+    """
+    drawn = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).orderBy(F.xxhash64("id"), "id").limit(INDEX_BLOCK).toArrow().combine_chunks()
+    columns = [drawn.column(c).combine_chunks() if drawn.column(c).num_chunks else pa.array([], drawn.column(c).type) for c in ("id", "vec")]
+    groups = sorted(vector_arrays(*columns, usable), key=lambda g: -len(g[0]))
+    if not groups or len(groups[0][0]) <= k:
+        return 1.0
+    ids, matrix = groups[0]
+    tree, asked = build_tree(ids, matrix), build_queries(ids[:SAMPLE_QUERIES], matrix[:SAMPLE_QUERIES])
+
+    def answers(factor: float) -> set:
+        return set(zip(*answer_block(tree, asked, k, factor)[:2]))
+
+    exact = answers(1.0)
+    return next((f for f in FACTORS if len(answers(f) & exact) >= RECALL * len(exact)), 1.0)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's ``k`` nearest found by inner product among all vectors but its own.
 
     Rows with a null identifier or vector, a null or non-finite component, or length zero take no part. Vectors meet
     those of the same number of components. Rows that share the query's identifier are its own; a repeated query is
     answered once; a repeated vector counts as often as it stands there. Empty tables give an empty result. With
-    ``factor`` 1 the result is exact, ties to the smaller identifier.
+    ``factor`` 1 the result is exact, ties to the smaller identifier; without one it is chosen by a measured sample.
     """
+    factor = factor or chosen_factor(vectors, k, id_col, vec_col)
     found, asked = vectors.count(), queries.count()
     index = packed(vectors, id_col, vec_col, INDEX_BLOCK, build_tree, usable, found)
     once = queries.select(id_col, vec_col).dropDuplicates([id_col])
