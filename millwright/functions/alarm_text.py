@@ -29,15 +29,19 @@ def alarm_fields(alarm_type: Column, code: Column, message: Column, severity: Co
         F.when(stored_code != code, F.concat(F.lit("Alarm code: "), code)),
         F.when(message != "", message))
     details = F.array_join(F.array_compact(lost), "\n")
-    level = F.upper(trimmed(F.when(severity != "", severity)))
     return {
         "alarm_type": stored_type, "alarm_code": stored_code,
-        "severity": F.substring(F.coalesce(F.when(level != "", level), F.lit("NORMAL")), 1, SEVERITY_LIMIT),
+        "severity": stored_severity(severity),
         "message": F.when(details != "", details),
         "alarm_key": F.coalesce(stored_code, stored_type),
     }
 
 
+def stored_severity(severity: Column) -> Column:
+    level = F.upper(trimmed(severity))
+    return F.substring(F.coalesce(F.when(level != "", level), F.lit("NORMAL")), 1, SEVERITY_LIMIT)
+
+
 def severity_class(severity: Column) -> Column:
     level = F.upper(trimmed(severity))
     return F.when(level.isin(*CRITICAL), "critical").when(level.isin(*INFO), "info").otherwise("noncritical")

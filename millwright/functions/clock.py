@@ -19,9 +19,9 @@ def second_of_day(epoch_s: Column, offset: int = DEFAULTS.zone_offset_s) -> Colu
 
 
 def time_to_seconds(text: Column) -> Column:
-    """``HH:MM[:SS[.f]]`` to seconds after midnight, whole seconds rounded down."""
+    """``HH:MM[:SS[.f]]`` to seconds after midnight, whole seconds rounded down; null without a readable hour."""
     parts = F.split(text, ":")
-    hours = F.get(parts, F.lit(0)).cast("int")
-    minutes = F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(0))
-    seconds = F.coalesce(F.floor(F.get(parts, F.lit(2)).cast("double")).cast("int"), F.lit(0))
+    hours = F.get(parts, F.lit(0)).try_cast("int")
+    minutes = F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), F.lit(0))
+    seconds = F.coalesce(F.floor(F.get(parts, F.lit(2)).try_cast("double")).try_cast("int"), F.lit(0))
     return hours * 3600 + minutes * 60 + seconds

@@ -86,6 +86,13 @@ def in_range(n: Column, bounds: tuple[int, int]) -> Column:
     return F.when((n > low - 1) & (n < high + 1) & (F.abs(n) <= INT8[1]), truncated(n).cast("long"))
 
 
+def whole_value(text: Column, bounds: tuple[int, int]) -> Column:
+    """The value as a whole: a number, a text that is one and nothing else, or true (1) and false (0); truncated, in range, else null."""
+    word = trimmed(text)
+    bare = F.when(word == "true", "1").when(word == "false", "0").when((word == "") & (text != ""), "0").otherwise(word)
+    return in_range(plain_number(bare), bounds)
+
+
 def _unit_key(unit: Column) -> Column:
     # a lower-case m is milli, never mega
     u = trimmed(unit)

@@ -30,8 +30,13 @@ def object_of(payload: Column) -> Column:
 
 
 def block_of(text: Column) -> Column:
-    """A nested JSON object's keys; null when the value is not an object."""
-    return F.when(F.startswith(text, F.lit("{")), F.from_json(text, "map<string,string>", _STRICT))
+    """A nested JSON object's keys, of a repeated one the last value; null when the value is not an object."""
+    return F.when(F.startswith(text, F.lit("{")), bind(F.from_json(text, "map<string,string>", _STRICT), lambda m: F.when(
+        repeats(F.map_keys(m)), F.map_from_entries(last_wins(F.map_entries(m)))).otherwise(m)))
+
+
+def repeats(keys: Column) -> Column:
+    return F.size(F.array_distinct(keys)) < F.size(keys)
 
 
 def variants_of(text: Column) -> Column:
@@ -76,7 +81,7 @@ def canonical(fields: Column) -> Column:
         return (k == "") | (k != F.lower(trimmed(k)))
 
     return bind(fields, lambda m: F.when(
-        F.exists(F.map_keys(m), drifts), F.map_from_entries(renamed(m))).otherwise(m))
+        F.exists(F.map_keys(m), drifts) | repeats(F.map_keys(m)), F.map_from_entries(renamed(m))).otherwise(m))
 
 
 def depth_ok(payload: Column, limit: int) -> Column:
@@ -99,16 +104,21 @@ def depth_ok(payload: Column, limit: int) -> Column:
 def fingerprint(payload: Column, missing_time: Column | None = None) -> Column:
     """SHA-256 over the canonical object with keys sorted at every level.
 
-    ``missing_time`` is added as ``time`` when the payload has none.
+    ``missing_time`` is added as ``time`` when the payload has none. Numbers are told apart by value, texts by every
+    character. An object that repeats a key below the top has no such form; there the values are compared as they were
+    sent, so that no object is without a fingerprint.
     """
 
-    def sorted_text(fields):
+    def sorted_text(fields, as_text):
         pairs = F.transform(F.map_entries(fields), lambda e: F.struct(
-            e["key"].alias("k"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("v")))
+            e["key"].alias("k"), F.coalesce(as_text(e["value"]), F.lit("null")).alias("v")))
         if missing_time is not None:
             added = F.struct(F.lit("time").alias("k"), missing_time.cast("string").alias("v"))
             pairs = F.when(F.map_contains_key(fields, F.lit("time")), pairs).otherwise(F.concat(pairs, F.array(added)))
         return F.to_json(F.array_sort(pairs))
 
-    text = bind(canonical(_wrapped(payload, "variant")), sorted_text)
-    return F.sha2(F.regexp_replace(text, r"(\d)\.0+(?=[,}\]\"\\])", "$1"), 256)
+    # a whole text is one match and stays; of a number outside texts the zeros after the last fraction digit go
+    number = r'''("(?:[^"\\]|\\.)*")|(?<=\d)(?:\.0+|(\.\d*[1-9])0+)(?=[,}\]]|$)'''
+    by_value = bind(canonical(_wrapped(payload, "variant")), lambda m: sorted_text(m, lambda v: F.regexp_replace(F.to_json(v), number, "$1$2")))
+    as_sent = bind(canonical(object_of(payload)), lambda m: F.concat(F.lit("as sent "), sorted_text(m, lambda v: v)))
+    return F.sha2(F.coalesce(by_value, as_sent), 256)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millwright.functions.numbers import INT2, INT4, INT8, lenient_in_range, lenient_number, temperature
+from millwright.functions.numbers import INT2, INT4, INT8, lenient_in_range, lenient_number, temperature, whole_value
 from millwright.functions.payload import bind, block_of, last_wins, trimmed
 from millwright.params import DEFAULTS
 
@@ -117,7 +117,7 @@ def process_columns(f: Column) -> dict[str, Column]:
         "total_run_time": lenient_in_range(first_of(f, "total_run_time", "powered_on_time"), INT8),
         "total_cutting_time": lenient_in_range(first_of(f, "total_cutting_time", "cutting_time"), INT8),
         "run_time": lenient_in_range(f["run_time"], INT4),
-        "status": lenient_in_range(f["status"], INT2),
+        "status": whole_value(f["status"], INT2),
         "mode": F.substring(f["mode"], 1, 64),
     }
 
@@ -125,12 +125,11 @@ def process_columns(f: Column) -> dict[str, Column]:
 def identity_columns(f: Column) -> dict[str, Column]:
     """The controller's own identity, cut to the stored widths."""
     told = lambda c, n: F.when(c != "", F.substring(c, 1, n))
-    n = lenient_number(f["controlled_axes"])
     return {
         "controller_ip": told(f["machine_ip"], 45), "cnc_series": told(f["series"], 32),
         "cnc_version": told(f["version"], 32), "cnc_type": F.substring(f["cnc_type"], 1, 16),
         "cnc_machine_type": F.substring(f["machine_type"], 1, 16),
-        "controlled_axes": n.cast("int"),
+        "controlled_axes": lenient_in_range(f["controlled_axes"], INT4).cast("int"),
     }
 
 

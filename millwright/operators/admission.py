@@ -66,16 +66,18 @@ def observation_time(fields: Column, is_energy: Column, recv_ms: Column) -> Colu
     return F.when(absent & is_energy, F.floor(recv_ms / 1000).cast("double")).when(~absent, given)
 
 
-def first_copies(rows: DataFrame) -> DataFrame:
-    """Marks the first arrival of every (machine, fingerprint): adds ``is_first``.
+def first_copies(rows: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Adds ``is_first``: no equal reading of the machine came in the time to live before it.
 
-    The first sequence number per group is a partial aggregate; it is matched
-    back on the unique sequence number, so a group of copies of any size never
-    meets in one task.
+    Rows: machine_id, fingerprint, seq, recv_ms. A copy that keeps coming back
+    without such a pause stays a copy. A row without a fingerprint is never one.
+    The scan cuts a group of copies into chunks, so none of any size meets in
+    one task, and nothing is matched back by number.
     """
-    firsts = rows.groupBy("machine_id", "fingerprint").agg(F.min("seq").alias("_first")).select("_first")
-    return rows.join(firsts, rows["seq"] == firsts["_first"], "left").withColumn(
-        "is_first", F.col("_first").isNotNull()).drop("_first")
+    named = rows.withColumn("_print", F.coalesce("fingerprint", F.concat(F.lit("row "), F.col("seq"))))
+    s = scan(named, ["machine_id", "_print"], before={"_before_ms": last(F.col("recv_ms"))}, width=p.chunk_seqs)
+    fresh = F.col("_before_ms").isNull() | (F.col("recv_ms") - F.col("_before_ms") >= p.dedup_ttl_s * 1000)
+    return s.withColumn("is_first", fresh).drop("_print", "_before_ms")
 
 
 def arrival_order(rows: DataFrame, at: str = "obs_at", p: Params = DEFAULTS) -> DataFrame:
@@ -126,7 +128,7 @@ def classify(messages: DataFrame, machines: DataFrame, p: Params = DEFAULTS, wit
     rows = materialise(slim.join(known, "api_key", "left"))
     lag_ms = F.col("recv_ms") - F.col("obs_at") * 1000
     live = rows.where(F.col("envelope_ok") & F.col("machine_id").isNotNull() & ~F.col("disconnected"))
-    marked = first_copies(live.select("seq", "machine_id", "fingerprint", "recv_ms", "obs_at", "is_energy", "_has_kwh"))
+    marked = materialise(first_copies(live.select("seq", "machine_id", "fingerprint", "recv_ms", "obs_at", "is_energy", "_has_kwh"), p))
     ontime = marked.where("is_first").where(~is_stale(lag_ms, p))
     one = scan(ontime, ["machine_id"], before={"_snap": top(F.when(~F.col("is_energy"), F.col("obs_at")))},
                width=p.chunk_seqs)

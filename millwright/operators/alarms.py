@@ -10,25 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millwright.functions.alarm_text import severity_class
+from millwright.functions.alarm_text import severity_class, stored_severity
 from millwright.functions.battery import is_battery_code
-from millwright.operators.scan import last, prev, scan
+from millwright.operators.scan import last, prev, scan, top
 from millwright.params import DEFAULTS, Params
+from millwright.session import materialise
 
 KEY = ["company_id", "machine_id", "alarm_key"]
 
 
 def alarm_diff(readings: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Adds opens, closes and updates of every reading against the one before it."""
+    """Adds opens, closes, updates and keep of every reading against the one before it.
+
+    Severities are compared as they are stored, so none at all is "NORMAL". The
+    first reading has nothing to compare with: ``keep`` then names its keys, for
+    the stored periods. Where a column ``preserve_battery`` holds, battery codes
+    close only if ``battery_clears`` names them.
+    """
     s = scan(readings, ["machine_id"], before={"_before": prev(F.col("alarms"))}, width=p.chunk_seqs)
     none = F.array().cast("array<string>")
     names = lambda a: F.coalesce(F.transform(a, lambda x: x["alarm_key"]), none)
     now, old = names(F.col("alarms")), names(F.col("_before"))
     changed = F.filter(F.col("alarms"), lambda x: F.exists(
-        F.col("_before"), lambda y: (y["alarm_key"] == x["alarm_key"]) & (y["severity"] != x["severity"])))
+        F.col("_before"), lambda y: (y["alarm_key"] == x["alarm_key"]) & (stored_severity(y["severity"]) != stored_severity(x["severity"]))))
+    closes = F.array_except(old, now)
+    if {"preserve_battery", "battery_clears"} <= set(readings.columns):
+        clear = F.coalesce("battery_clears", none)
+        closes = F.filter(closes, lambda k: ~F.coalesce("preserve_battery", F.lit(False)) | ~is_battery_code(k) | F.array_contains(clear, k))
     return (
-        s.withColumn("opens", F.array_except(now, old)).withColumn("closes", F.array_except(old, now))
-        .withColumn("updates", F.coalesce(names(changed), none)).drop("_before")
+        s.withColumn("opens", F.array_except(now, old)).withColumn("closes", closes)
+        .withColumn("updates", F.coalesce(names(changed), none)).withColumn("keep", F.when(F.col("_before").isNull(), now)).drop("_before")
     )
 
 
@@ -135,19 +146,38 @@ def close_match(requests: DataFrame, periods: DataFrame) -> DataFrame:
         *KEY, "started_at", F.col("_c.obs_at").alias("ended_at"), F.col("_c.recv_ms").alias("ended_recv_ms"))
 
 
-def priority_match(observations: DataFrame, periods: DataFrame) -> DataFrame:
-    """Newest severity observation per open period, applied only if newer than the stored one."""
-    newest = observations.groupBy(*KEY).agg(
-        F.max_by(F.struct("obs_at", "recv_ms", "severity"), F.struct("obs_at", "recv_ms", "seq")).alias("_o"))
-    o = F.col("_o")
-    seen = F.col("observed_at")
-    newer = seen.isNull() | (seen < o["obs_at"]) | (
-        (seen == o["obs_at"]) & (F.coalesce(F.col("observed_recv_ms"), seen * 1000) < o["recv_ms"]))
-    changed = severity_class(o["severity"]) != severity_class(F.col("severity"))
-    return periods.where(F.col("ended_at").isNull()).join(newest, KEY).where(
-        (F.col("started_at") <= o["obs_at"]) & newer).select(
-        *KEY, "started_at", o["severity"].alias("severity"), o["obs_at"].alias("observed_at"),
-        o["recv_ms"].alias("observed_recv_ms"), F.when(changed, o["obs_at"]).alias("priority_changed_at"))
+def priority_steps(observations: DataFrame, periods: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """The severity observations that apply to an open period, in the order they came, each with the severity held before.
+
+    One applies if it is newer, by device time and then receipt, than what is
+    stored and than every one applied before it. ``changed`` says whether the
+    severity class is another one.
+    """
+    stored = periods.where(F.col("ended_at").isNull()).select(
+        *KEY, "started_at", F.col("severity").alias("_stored"), F.col("observed_at").alias("_at"),
+        F.coalesce(F.col("observed_recv_ms"), F.col("observed_at") * 1000).alias("_recv"))
+    newer = F.col("_at").isNull() | (F.col("_at") < F.col("obs_at")) | ((F.col("_at") == F.col("obs_at")) & (F.col("_recv") < F.col("recv_ms")))
+    fit = observations.select(*KEY, "seq", "obs_at", "recv_ms", "severity").join(stored, KEY).where((F.col("started_at") <= F.col("obs_at")) & newer)
+    when = F.struct("obs_at", "recv_ms")
+    s = scan(fit, KEY, before={"_newest": top(when)}, width=p.chunk_seqs)
+    applied = materialise(s.where(F.col("_newest").isNull() | (F.col("_newest") < when)).drop("_newest", "_at", "_recv"))
+    held = scan(applied, KEY, before={"_held": last(F.struct("severity"))}, width=p.chunk_seqs)
+    before = F.when(F.col("_held").isNotNull(), F.col("_held.severity")).otherwise(F.col("_stored"))
+    steps = held.withColumn("severity_before", before).drop("_held", "_stored")
+    return steps.withColumn("changed", severity_class(F.col("severity")) != severity_class(F.col("severity_before")))
+
+
+def priority_match(observations: DataFrame, periods: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Per open period with an applied observation: the last severity, when it was seen, and when its class last changed."""
+    return priority_steps(observations, periods, p).groupBy(*KEY, "started_at").agg(
+        F.max_by("severity", "seq").alias("severity"), F.max_by("obs_at", "seq").alias("observed_at"), F.max_by("recv_ms", "seq").alias("observed_recv_ms"),
+        F.max_by("obs_at", F.when(F.col("changed"), F.col("seq"))).alias("priority_changed_at"))
+
+
+def priority_events(observations: DataFrame, periods: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """A notification for every change of a stored period into critical."""
+    into = F.col("changed") & (severity_class(F.col("severity")) == "critical")
+    return priority_steps(observations, periods, p).where(into).select(*KEY, "started_at", F.col("obs_at").alias("occurred_at"), "recv_ms", "severity")
 
 
 def continuity_reset(periods: DataFrame, requests: DataFrame) -> DataFrame:

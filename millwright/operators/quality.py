@@ -27,14 +27,14 @@ def guard(value: Column, column: str) -> Column:
 def range_violations(rows: DataFrame, columns: list[str], p: Params = DEFAULTS) -> DataFrame:
     """One report per machine, column and time window, with the first offending value.
 
-    Rows: machine_id, recv_ms, and the raw (double) columns.
+    Rows: machine_id, recv_ms, and the raw columns, numbers or texts; what cannot be read as a number is reported too.
     """
-    checks = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"),
-                                (F.col(c).isNotNull() & guard(F.col(c), c).isNull()).alias("bad")) for c in columns])
+    checks = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).try_cast("double").alias("value"), F.col(c).cast("string").alias("sent"),
+                                (F.col(c).isNotNull() & guard(F.col(c).try_cast("double"), c).isNull()).alias("bad")) for c in columns])
     window = (F.floor(F.col("recv_ms") / (p.range_window_s * 1000)) * p.range_window_s).cast("long")
     bad = rows.select("machine_id", "seq", window.alias("window_start"), F.explode(checks).alias("_v")).where("_v.bad")
     return bad.groupBy("machine_id", F.col("_v.column").alias("column"), "window_start").agg(
-        F.count("*").alias("violations"), F.min_by(F.col("_v.value"), "seq").alias("first_value"))
+        F.count("*").alias("violations"), F.min_by(F.col("_v.value"), "seq").alias("first_value"), F.min_by(F.col("_v.sent"), "seq").alias("first_sent"))
 
 
 def split_storable(rows: DataFrame, limits: dict[str, int], not_null: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

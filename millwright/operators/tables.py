@@ -98,10 +98,11 @@ def identity_update(machines: DataFrame, seen: DataFrame, columns: list[str]) ->
     """Machine rows with each identity column at its newest supplied value, else as stored."""
     newest = seen.groupBy("machine_id").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}") for c in columns],
-        F.max("recv_s").alias("controller_seen_at"))
+        F.max("recv_s").alias("_seen"))
     joined = machines.join(newest, "machine_id", "left")
-    keep = [c for c in machines.columns if c not in columns]
-    return joined.select(*keep, *[F.coalesce(f"_{c}", c).alias(c) for c in columns], "controller_seen_at")
+    keep = [c for c in machines.columns if c not in (*columns, "controller_seen_at")]
+    seen = F.coalesce("_seen", "controller_seen_at") if "controller_seen_at" in machines.columns else F.col("_seen")
+    return joined.select(*keep, *[F.coalesce(f"_{c}", c).alias(c) for c in columns], seen.alias("controller_seen_at"))
 
 
 def batch_stats(rows: DataFrame, batch: str) -> DataFrame:

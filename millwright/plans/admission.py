@@ -107,9 +107,9 @@ def fingerprint_groups(spark, d):
 def dedup(spark, d):
     from millwright.operators.registry import registry_join
     parsed = ops.parse(messages(spark, d)).where("envelope_ok").select(
-        "seq", "api_key", fingerprint(F.col("payload"), F.col("time_s").cast("long")).alias("fingerprint"))
+        "seq", "api_key", "recv_ms", fingerprint(F.col("payload"), F.col("time_s").cast("long")).alias("fingerprint"))
     rows = materialise(registry_join(parsed, registry(spark, d).select(
-        "api_key", "machine_id", "company_id", "is_active")).select("seq", "machine_id", "fingerprint"))
+        "api_key", "machine_id", "company_id", "is_active")).select("seq", "machine_id", "recv_ms", "fingerprint"))
     return ops.first_copies(rows).select("seq", "machine_id", "is_first")
 
 

@@ -268,18 +268,33 @@ def alarm_close_match(spark, d):
     return ops.close_match(requests(spark, d), stored(spark, d)).select("machine_id", "alarm_key", "started_at", "ended_at")
 
 
-@query("priority_match", f"""{AL}, {PERIODS_SQL}, nw AS (SELECT company_id, machine_id, alarm_key, severity, obs_at + seq % 2 * 60 AS obs_at, recv_ms FROM ev WHERE kind <> 'close'
-    QUALIFY row_number() OVER (PARTITION BY machine_id, alarm_key ORDER BY obs_at + seq % 2 * 60 DESC, recv_ms DESC, seq DESC) = 1)
-  SELECT pd.machine_id, pd.alarm_key, pd.started_at, nw.severity, nw.obs_at AS observed_at, CASE WHEN {CLASS_SQL.format('nw.severity')} <>
-    {CLASS_SQL.format('pd.severity')} THEN nw.obs_at END AS priority_changed_at FROM pd JOIN nw USING (company_id, machine_id, alarm_key)
-  WHERE ended_at IS NULL AND started_at <= nw.obs_at AND (observed_at < nw.obs_at OR observed_at = nw.obs_at AND observed_recv_ms < nw.recv_ms)""")
-def priority_match(spark, d):
+STEPS_SQL = f"""el AS (SELECT ev.company_id, ev.machine_id, ev.alarm_key, ev.severity, ev.seq, ev.recv_ms, ev.obs_at + ev.seq % 2 * 60 AS obs_at,
+    pd.started_at, pd.severity AS stored, pd.observed_at, pd.observed_recv_ms FROM ev JOIN pd USING (company_id, machine_id, alarm_key)
+    WHERE kind <> 'close' AND pd.ended_at IS NULL),
+fi AS (SELECT *, obs_at * 100000000000000::HUGEINT + recv_ms AS t FROM el WHERE started_at <= obs_at
+    AND (observed_at < obs_at OR observed_at = obs_at AND observed_recv_ms < recv_ms)),
+ap AS (SELECT * FROM fi QUALIFY coalesce(t > max(t) OVER (PARTITION BY machine_id, alarm_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)),
+st AS (SELECT *, {CLASS_SQL.format('severity')} <> {CLASS_SQL.format('coalesce(lag(severity) OVER (PARTITION BY machine_id, alarm_key ORDER BY seq), stored)')} AS changed FROM ap)"""
+
+
+def observed(spark, d):
     seen = ops.alarm_events(ops.alarm_diff(alarm_readings(spark, d), MAPPED)).where("kind <> 'close'")
-    seen = seen.withColumn("obs_at", F.col("obs_at") + F.col("seq") % 2 * 60)
-    return ops.priority_match(seen, stored(spark, d)).select(
+    return seen.withColumn("obs_at", F.col("obs_at") + F.col("seq") % 2 * 60)
+
+
+@query("priority_match", f"""{AL}, {PERIODS_SQL}, {STEPS_SQL} SELECT machine_id, alarm_key, started_at, arg_max(severity, seq) AS severity,
+  arg_max(obs_at, seq) AS observed_at, arg_max(obs_at, seq) FILTER (WHERE changed) AS priority_changed_at FROM st GROUP BY 1, 2, 3""")
+def priority_match(spark, d):
+    return ops.priority_match(observed(spark, d), stored(spark, d), MAPPED).select(
         "machine_id", "alarm_key", "started_at", "severity", "observed_at", "priority_changed_at")
 
 
+@query("priority_events", f"""{AL}, {PERIODS_SQL}, {STEPS_SQL} SELECT machine_id, alarm_key, started_at, obs_at AS occurred_at, severity FROM st
+  WHERE changed AND {CLASS_SQL.format('severity')} = 'critical'""")
+def priority_events(spark, d):
+    return ops.priority_events(observed(spark, d), stored(spark, d), MAPPED).select("machine_id", "alarm_key", "started_at", "occurred_at", "severity")
+
+
 @query("continuity_reset", f"""{AL}, {PERIODS_SQL}, {REQUESTS_SQL} SELECT machine_id, alarm_key, started_seq,
   CASE WHEN is_keep AND alarm_key = 'EX1001' AND ended_at IS NULL AND started_at <= rq.obs_at THEN greatest(started_at, rq.obs_at)
     ELSE started_at END AS continuity_at FROM pd JOIN rq USING (company_id, machine_id)""")

@@ -75,13 +75,18 @@ SHIFTS = [(1, "06:00", "14:00:00", True), (2, "14:00:00", "22:00:00.75", True),
           (3, "22:00:00", "06:00", True), (4, "00:00", "23:59:59", False)]
 
 
+# companies without the night shift, and companies whose second shift begins an hour early
+NO_NIGHT, EARLY = "n_nationkey % 5 = 2", "n_nationkey % 7 = 3"
+
+
 def shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(a).alias("start_time"),
                               F.lit(b).alias("end_time"), F.lit(on).alias("is_active")) for n, a, b, on in SHIFTS])
-    return table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").cast("long").alias("company_id"), F.explode(rows).alias("s")
-    ).select((F.col("company_id") * 10 + F.col("s.n")).alias("id"), "company_id", "s.start_time", "s.end_time",
-             "s.is_active")
+    start = F.when(F.expr(EARLY) & (F.col("s.n") == 2), "13:00").otherwise(F.col("s.start_time"))
+    on = F.col("s.is_active") & ~(F.expr(NO_NIGHT) & (F.col("s.n") == 3))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.explode(rows).alias("s")).select(
+        (F.col("n_nationkey") * 10 + F.col("s.n")).cast("long").alias("id"), F.col("n_nationkey").cast("long").alias("company_id"),
+        start.alias("start_time"), "s.end_time", on.alias("is_active"))
 
 
 def fleet(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
@@ -190,8 +195,9 @@ REGISTRY_SQL = """m AS (SELECT c_custkey AS machine_id, 'k' || c_custkey AS api_
   c_name AS machine_serial_no, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'FANUC' ELSE 'OTHER' END AS controller_type,
   lower(c_mktsegment) AS cnc_series, c_acctbal >= 0 AS is_active FROM customer)"""
 ACTIVE_SQL = "a AS (SELECT * FROM m WHERE is_active AND company_id IS NOT NULL)"
-SHIFTS_SQL = """s AS (SELECT n_nationkey * 10 + n AS shift_id, CAST(n_nationkey AS BIGINT) AS company_id, b AS start_s, e AS end_s
-  FROM nation, (VALUES (1, 21600, 50400), (2, 50400, 79200), (3, 79200, 21600)) v(n, b, e))"""
+SHIFTS_SQL = f"""s AS (SELECT n_nationkey * 10 + n AS shift_id, CAST(n_nationkey AS BIGINT) AS company_id,
+    CASE WHEN {EARLY} AND n = 2 THEN 46800 ELSE b END AS start_s, e AS end_s
+  FROM nation, (VALUES (1, 21600, 50400), (2, 50400, 79200), (3, 79200, 21600)) v(n, b, e) WHERE NOT ({NO_NIGHT} AND n = 3))"""
 FLEET_SQL = """f AS (SELECT t.*, t.recv_s AS obs_at, t.status_word AS machine_status, t.meter_kwh AS energy,
   a.company_id, a.plant_id, a.controller_type FROM t JOIN a USING (machine_id))"""
 FLEET = f"WITH {READINGS_SQL}, {REGISTRY_SQL}, {ACTIVE_SQL}, {SHIFTS_SQL}, {FLEET_SQL}"

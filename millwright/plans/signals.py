@@ -132,13 +132,15 @@ def battery_flags(spark, d):
     return staged(snapshots(spark, d), b=b).select("seq", F.col("b")["X"].alias("x"), F.col("b")["Y"].alias("y"), F.size("b").alias("axes"))
 
 
-@query("bounded_entries", f"{T} SELECT seq, least(k, 16) AS kept FROM t WHERE k > 0")
+@query("bounded_entries", f"{T} SELECT seq, least(k, 16) AS kept FROM t")
 def bounded_entries(spark, d):
-    """Fan maps of k fans each: the first sixteen stay."""
-    fans = F.concat(F.lit("{"), F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.col("k")), lambda i: F.concat(
+    """Fan maps of k fans each, none for zero: the first sixteen stay."""
+    numbers = F.when(F.col("k") > 0, F.sequence(F.lit(1).cast("long"), F.col("k"))).otherwise(F.array().cast("array<long>"))
+    fans = F.concat(F.lit("{"), F.array_join(F.transform(numbers, lambda i: F.concat(
         F.lit('"F'), i.cast("string"), F.lit('":'), i.cast("string"))), ","), F.lit("}"))
-    rows = readings(spark, d).where("k > 0").select("seq", fans.alias("fans"))
-    return rows.select("seq", F.size(signals.fan_status(F.col("fans"))).cast("long").alias("kept"))
+    kept = signals.fan_status(F.col("fans"))
+    rows = readings(spark, d).select("seq", fans.alias("fans"))
+    return rows.select("seq", F.when(kept.isNotNull(), F.size(kept)).otherwise(0).cast("long").alias("kept"))
 
 
 @query("alias_projection", f"""{MSG} SELECT seq, k + 0.5E0 AS cutting_speed, k AS program_number, k * 3600 AS total_run_time, mode FROM q WHERE NOT standalone""")
@@ -191,4 +193,4 @@ def telemetry(spark, d):
 def range_guard(spark, d):
     rows = readings(spark, d).select("seq", "machine_id", "recv_ms", (F.col("k") * 1000.0).alias("status"),
                                      (F.col("k") * 100_000_000.0).alias("parts_count"))
-    return quality.range_violations(rows, ["status", "parts_count"], MAPPED)
+    return quality.range_violations(rows, ["status", "parts_count"], MAPPED).drop("first_sent")

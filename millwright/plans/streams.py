@@ -142,7 +142,13 @@ def lag_alerts_query(spark, d):
         "machines", F.array_join("machines", ","))
 
 
-@query("identity_rate_limit")
+IDENTITY_SQL = """n AS (SELECT machine_id, seq, recv_ms, 's' || (k // 50) AS identity, row_number() OVER (PARTITION BY machine_id ORDER BY seq) AS rn FROM f),
+r AS (SELECT *, identity AS held, recv_ms AS at_ms, true AS written FROM n WHERE rn = 1
+  UNION ALL SELECT x.machine_id, x.seq, x.recv_ms, x.identity, x.rn, CASE WHEN w THEN x.identity ELSE held END, CASE WHEN w THEN x.recv_ms ELSE at_ms END, w
+  FROM (SELECT n.*, r.held, r.at_ms, n.identity <> r.held OR n.recv_ms - r.at_ms >= 3600000 AS w FROM r JOIN n ON n.machine_id = r.machine_id AND n.rn = r.rn + 1) x)"""
+
+
+@query("identity_rate_limit", f"""{FLEET.replace('WITH', 'WITH RECURSIVE', 1)}, {IDENTITY_SQL} SELECT machine_id, seq, recv_ms, identity FROM r WHERE written""")
 def identity_rate_limit(spark, d):
     rows = fleet(spark, d).select("machine_id", "seq", "recv_ms", F.expr("concat('s', k div 50)").alias("identity"))
     return _through(spark, rows, "identity", stateful.identity_writes, "seq")
