@@ -7,12 +7,12 @@ similarity, and full sets confirm it.
 Two similar sets share many retained values (all but one pair in a thousand million share as many as ``needed`` says, and all
 pairs of sets that fit their sketches do), so a node looks only into the lists of its ``r - needed + 1`` rarest values:
 of two sketches that share that many, these prefixes share one. Values that are common in the corpus are therefore looked
-up only by documents made mostly of such values.
+up only by documents made mostly of such values, and those once more by the rarest values of their full sets.
 
-Lists stay linear: a short list gives all its pairs, a long one only pairs with a leader. Nodes similar to the leader
-are linked through it. The others go to the next round under a new leader, together with those linked nodes that the
-triangle inequality of the Jaccard distance leaves open. So no link between different components is lost, and no list
-gives the square of its length.
+Lists stay linear: a short list gives all its pairs, a long one only the pairs of a few leaders with all others. Found
+links are made into components. A list that lies in one component is done. Of the others, nodes outside the component
+that has most of the list stay open, and the next leaders come from them; nodes of one component are never compared.
+So no link between different components is lost, and no list gives the square of its length.
 """
 
 from __future__ import annotations
@@ -36,20 +36,20 @@ class NearParams:
     words: int = 5
     percent: int = 80  # linked if 100 * intersection >= percent * union
     k: int = 64
-    short_list: int = 8
+    short_list: int = 32
+    long_list: int = 1_000  # a list up to this length has `leaders` leaders in a round, a longer one `few_leaders`
+    leaders: int = 16  # in the first round; eight times as many after it, when few nodes are still open
+    few_leaders: int = 4
     miss: float = 1e-9
-    rounds: int = 12  # with leaders; lists still open then are compared pair by pair
+    rounds: int = 2  # with leaders; of lists still open then, every node left is compared with the other components
 
 
 DEFAULTS = NearParams()
 
 
-def needed(n: int, params: NearParams) -> int:
-    """Retained values that the sketches of two linked sets, one of size ``n``, are sure to share."""
-    share = params.percent / 100
-    if n <= params.percent * params.k // 100:  # the other set fits its sketch too
-        return -(-params.percent * n // 100)
-    r, below = min(n, params.k), 0.0
+def surely(r: int, params: NearParams) -> int:
+    """Of the ``r`` smallest values of two linked sets' union, how many are in both but for a chance of ``miss``."""
+    share, below = params.percent / 100, 0.0
     for s in range(r + 1):
         below += math.comb(r, s) * share ** s * (1 - share) ** (r - s)
         if below > params.miss:
@@ -57,6 +57,13 @@ def needed(n: int, params: NearParams) -> int:
     return r
 
 
+def needed(n: int, params: NearParams) -> int:
+    """Retained values that the sketches of two linked sets, one of size ``n``, are sure to share."""
+    if n <= params.percent * params.k // 100:  # the other set fits its sketch too
+        return -(-params.percent * n // 100)
+    return surely(min(n, params.k), params)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of each document's distinct shingles, ascending; where each document's begin and the last end)."""
     count = len(offsets) - 1
@@ -133,30 +140,45 @@ def full_sets(docs: DataFrame, wanted: DataFrame, params: NearParams) -> DataFra
     return chosen.mapInArrow(run, f"node {docs.schema['id'].dataType.simpleString()}, shingles array<long>")
 
 
-def _prefix_lists(nodes: DataFrame, params: NearParams) -> DataFrame:
-    """(value, node): the inverted lists that a node must look into, lists of one left out."""
-    values = nodes.select("node", "n", F.explode("sketch").alias("value"))
+def _rarest(values: DataFrame, size, kept) -> DataFrame:
+    """(value, node) of the ``kept`` rarest of each node's values, ``size`` in all; values of one node only are left out."""
     often = values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
-    shared = values.join(often, "value")
-    sizes = [F.lit(min(n, params.k) - needed(n, params) + 1) for n in range(params.k + 1)]
+    own = Window.partitionBy("node")  # the values of one document
+    ranked = values.join(often, "value").withColumn("rank", F.row_number().over(own.orderBy("often", "value"))).withColumn("common", F.count("*").over(own))
+    return ranked.where(size - F.col("common") + F.col("rank") <= kept).select("value", "node")
+
+
+def _prefix_lists(nodes: DataFrame, docs: DataFrame, params: NearParams) -> DataFrame:
+    """(value, node): the inverted lists that a node must look into, lists of one left out.
+
+    First those of its rarest retained values. A node that gets into a long list this way is made mostly of values that
+    are common in the corpus, be it a copy among many or a text around a common passage. These nodes are looked at
+    again by their full sets: two linked sets share one of the rarest ``n - needed + 1`` of all their values, counted
+    among these nodes, and that is a far smaller share of the values than a sketch allows to tell.
+    """
     retained = F.least("n", F.lit(params.k))
-    own = Window.partitionBy("node")  # at most k rows each
-    ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("often", "value"))).withColumn("common", F.count("*").over(own))
-    lonely = retained - F.col("common")  # values that no other node retains are the rarest
-    return ranked.where(lonely + F.col("rank") <= F.element_at(F.array(*sizes), retained + 1)).select("value", "node")
+    sizes = [F.lit(min(n, params.k) - needed(n, params) + 1) for n in range(params.k + 1)]
+    lists = scratch_table(_rarest(nodes.select("node", "n", F.explode("sketch").alias("value")), retained, F.element_at(F.array(*sizes), retained + 1)), "retained")
+    length = lists.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
+    joined = lists.join(length, "value")
+    common = joined.where(F.col("m") > params.short_list).select("node").distinct()
+    sets = full_sets(docs, common, params).select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("value"))
+    whole = _rarest(scratch_table(sets, "common-sets"), F.col("n"), F.col("n") - F.ceil(F.col("n") * params.percent / 100) + 1)
+    return joined.where(F.col("m") <= params.short_list).select("value", "node").unionByName(whole.select((-1 - F.col("value")).alias("value"), "node").distinct())
 
 
 def _similar_enough(a: str, b: str, params: NearParams):
-    """Of the k smallest values of both sketches, enough are in both for a similarity that matters here."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, params.k)
+    """Of the k smallest values of both sketches, enough are in both; where the union has fewer, it is exact."""
+    every = F.array_union(a, b)
+    union = F.slice(F.array_sort(every), 1, params.k)
     both = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), union))
-    return both >= F.size(union) * (0.6 * (2 * params.percent / 100 - 1))
+    return F.when(F.size(every) < params.k, both * 100 >= F.size(every) * params.percent).otherwise(both >= surely(params.k, params))
 
 
 def _judged(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, params: NearParams) -> DataFrame:
     """(a, b, both, either) with exact sizes, for the pairs that their sketches do not rule out."""
     left, right = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    near = pairs.join(left, "a").join(right, "b").where(F.greatest("na", "nb") * (2 * params.percent - 100) <= F.least("na", "nb") * 100)
+    near = pairs.join(left, "a").join(right, "b").where(F.greatest("na", "nb") * params.percent <= F.least("na", "nb") * 100)
     near = scratch_table(near.where(_similar_enough("sa", "sb", params)).select("a", "b"), "near-pairs")
     wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     sets = scratch_table(full_sets(docs, wanted, params), "full-sets")
@@ -168,28 +190,33 @@ def _judged(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, params: NearPar
 
 def links(nodes: DataFrame, docs: DataFrame, params: NearParams = DEFAULTS) -> DataFrame:
     """(a, b) of linked nodes, enough of them to connect every two that are linked. ``nodes``: node, n, sketch, of different sets."""
-    lists = scratch_table(_prefix_lists(nodes, params).withColumn("near", F.lit(False)), "lists")
-    limit, found = params.percent, None
-    jaccard = F.coalesce(F.col("both") / F.col("either"), F.lit(0.0))
+    lists = scratch_table(_prefix_lists(nodes, docs, params).withColumn("component", F.col("node")).withColumn("seeks", F.lit(True)), "lists")
+    found, known = None, None
     for round_ in range(params.rounds + 1):
-        short = params.short_list if round_ < params.rounds else 1 << 62
-        about = lists.groupBy("value").agg(F.count("*").alias("m"), F.min(F.when(~F.col("near"), F.col("node"))).alias("leader")).where("m > 1 and leader is not null")
-        joined = lists.join(about, "value")
-        few = joined.where(F.col("m") <= short).select("value", "node")
-        inside = few.alias("x").join(few.alias("y"), "value").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        led = joined.where((F.col("m") > short) & (F.col("node") != F.col("leader")))
-        spokes = led.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-        pairs = inside.union(spokes).distinct()
+        about = lists.groupBy("value").agg(F.count("*").alias("m"), F.count_if("seeks").alias("seekers"), F.min(F.when(F.col("seeks"), F.col("node"))).alias("least")).where("m > 1 and seekers > 0")
+        share = F.ceil(F.col("seekers") / F.when(F.col("m") <= params.long_list, params.leaders * (8 if round_ else 1)).otherwise(params.few_leaders))
+        chosen = (F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node", F.lit(round_)), share) == 0)
+        leads = F.col("seeks") & ((F.col("m") <= params.short_list) | F.lit(round_ == params.rounds) | chosen)
+        joined = lists.join(about, "value").withColumn("leads", leads)
+        some, every = joined.where("leads").alias("x"), joined.alias("y")
+        apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.node") != F.col("y.node")) & (~F.col("y.leads") | (F.col("x.node") < F.col("y.node")))
+        met = some.join(every, F.col("x.value") == F.col("y.value")).where(apart)
+        pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        if known is not None:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = scratch_table(pairs, "pairs")
         judged = _judged(pairs, nodes, docs, params)
-        good = judged.where(F.col("both") * 100 >= F.col("either") * limit).select("a", "b")
-        found = good if found is None else found.union(good)
-        led = led.select("value", "node", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).join(judged, ["a", "b"], "left")
-        led = led.select("value", "node", jaccard.alias("like"), F.coalesce(F.col("both") * 100 >= F.col("either") * limit, F.lit(False)).alias("linked"))
-        led = scratch_table(led, "led")
-        # of the nodes not linked to the leader, the one most like it: how far linked nodes can matter to them
-        rest = led.where(~F.col("linked")).groupBy("value").agg(F.max("like").alias("closest"))
-        again = led.join(rest, "value").where(~F.col("linked") | ((F.col("closest") >= 2 * limit / 100 - 1) & (F.col("like") <= F.col("closest") + 1 - limit / 100 + 1e-9)))
-        lists = scratch_table(again.select("value", "node", F.col("linked").alias("near")), "lists")
+        good = judged.where(F.col("both") * 100 >= F.col("either") * params.percent).select("a", "b")
+        found, known = (good, pairs) if found is None else (found.union(good), known.union(pairs))
+        # what stays open: in long lists, nodes outside the component that has most of the list, and all that did not lead yet
+        rest = joined.where(F.col("m") > params.short_list).where(~F.col("leads")).select("value", "node")
+        if round_ == params.rounds or rest.limit(1).count() == 0:
+            return found
+        named = rest.join(components(found), "node", "left").select("value", "node", F.coalesce("component", "node").alias("component"))
+        sizes = named.groupBy("value", "component").agg(F.count("*").alias("size"))
+        most = sizes.groupBy("value").agg(F.max("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+        largest = sizes.join(most, ["value", "size"]).groupBy("value").agg(F.min("component").alias("largest"))
+        lists = scratch_table(named.join(largest, "value").select("value", "node", "component", (F.col("component") != F.col("largest")).alias("seeks")), "lists")
         if lists.limit(1).count() == 0:
             return found
     return found

@@ -228,7 +228,7 @@ def test_token_round_trip(docs, corpus, empty):
 # 6 near duplicates
 
 @pytest.mark.parametrize("words,percent", [(3, 85), (5, 80)])
-@pytest.mark.parametrize("short", [8, 1])
+@pytest.mark.parametrize("short", [32, 1])
 def test_near_duplicates(docs, corpus, words, percent, short):
     component, size = plain.components([i for i, _ in corpus], [t for _, t in corpus], words, percent)
     got = by_id(minhash.near_duplicates(docs, minhash.NearParams(words, percent, short_list=short)), "doc_id", "n_shingles", "component_id", "kept")
@@ -241,7 +241,7 @@ def test_links_beyond_the_leader_are_found(spark):
     rows = [(100 - i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     component, _ = plain.components([r[0] for r in rows[:30]], texts, 3, 85)
-    for params in (minhash.NearParams(3, 85, short_list=1), minhash.NearParams(3, 85, k=16, short_list=2, rounds=1)):
+    for params in (minhash.NearParams(3, 85, short_list=1, leaders=1), minhash.NearParams(3, 85, k=16, short_list=2, leaders=2, rounds=1)):
         out = minhash.near_duplicates(df, params).collect()
         assert {r.doc_id: r.component_id for r in out if r.doc_id} == component
         assert [(r.component_id, r.kept) for r in out if r.doc_id is None] == [(None, True)] * 2
