@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions import meter
-from millwright.functions.numbers import INT8, plain_number
+from millwright.functions.numbers import INT8, plain_number, strict_count
 from millwright.functions.payload import canonical, depth_ok, fingerprint, object_of, staged, trimmed
 from millwright.operators.registry import active_machines
 from millwright.operators.scan import last, scan, top
@@ -150,6 +150,25 @@ def classify(messages: DataFrame, machines: DataFrame, p: Params = DEFAULTS, wit
                          outcome.alias("outcome"))
 
 
+def accepted_readings(messages: DataFrame, machines: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Raw packets to readings that production can take: both lanes, in the machine's order.
+
+    Adds to every accepted packet its state, mode and count (snapshots only),
+    and the meter total where the order of meter readings lets it be used.
+    """
+    parsed = parse(messages, p)
+    f, alone = F.col("fields"), F.col("is_energy")
+    meters = meter.electrical_signals(f, F.col("power"), F.col("energy_data"))
+    values = materialise(staged(parsed.where("envelope_ok"), kwh=meters["energy"], count=F.when(~alone, strict_count(f["parts_count"]))).select(
+        "seq", F.when(~alone, f["machine_status"]).alias("machine_status"), F.when(~alone, F.substring(f["mode"], 1, 64)).alias("mode"),
+        F.col("count").alias("parts_count"), F.col("kwh").alias("energy")))
+    taken = classify(messages, machines, p).where("outcome = 'accepted'").select(
+        "seq", "machine_id", "company_id", "obs_at", "recv_ms", F.col("is_energy").alias("standalone"))
+    rows = materialise(taken.join(values, "seq"))
+    used = F.when(F.col("used"), F.col("energy"))
+    return materialise(meter_order(rows, p).withColumn("energy", used).drop("late", "used"))
+
+
 def outcome_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("outcome").agg(F.count("*").alias("messages"))
 

@@ -3,7 +3,8 @@
 ``production_steps`` runs one carried scan; everything after it is row-local.
 Input readings: machine_id, company_id, seq, obs_at (device seconds),
 machine_status, mode, parts_count (valid or null), energy (usable meter total
-or null).
+or null), and optionally standalone: a packet of the meter alone, which moves
+the meter but neither clock nor state nor parts.
 """
 
 from __future__ import annotations
@@ -102,17 +103,19 @@ def energy_steps(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 def production_steps(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Counter, meter and previous-state columns of every reading, in one scan."""
-    c, at = F.col("parts_count"), F.col("obs_at")
+    at = F.col("obs_at")
+    alone = F.coalesce("standalone", F.lit(False)) if "standalone" in df.columns else F.lit(False)
+    c = F.when(~alone, F.col("parts_count"))
     real = F.when(F.col("energy") > 0, F.struct(F.col("energy").alias("meter"), at.alias("obs_at")))
     s = scan(df, ["machine_id"], before={
-        "_prev": prev(F.struct("obs_at", "machine_status", "mode")),
+        "_prev": last(F.when(~alone, F.struct("obs_at", "machine_status", "mode"))),
         "baseline_before": peak(c, is_counter_restart(c, p)),
         "_meter": last(real),
     }, width=p.chunk_seqs)
     b, gap = F.col("baseline_before"), F.col("gap_s")
     fresh = p.freshness_s
     steps = (
-        s.withColumn("prev_at", F.col("_prev.obs_at"))
+        s.withColumn("prev_at", F.when(~alone, F.col("_prev.obs_at")))
         .withColumn("prev_status", F.col("_prev.machine_status"))
         .withColumn("prev_mode", F.col("_prev.mode"))
         .withColumn("gap_s", F.coalesce(F.greatest(at - F.col("prev_at"), F.lit(0)), F.lit(0)).cast("long"))
