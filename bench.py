@@ -13,7 +13,8 @@ from millwright import session  # noqa: E402
 from millwright.plans import load, mapping  # noqa: E402
 
 HEADLINE = ("production_hourly", "observation_gaps", "counter_baseline", "energy_step", "meter_order", "alarm_periods",
-            "meter_same_second", "late_windows", "lag_episodes", "classify_outcome", "telemetry_rows", "quarantine_summary")
+            "meter_same_second", "late_windows", "lag_episodes", "classify_outcome", "telemetry_rows", "quarantine_summary",
+            "pipeline_hourly")
 
 
 def main() -> None:
@@ -25,7 +26,13 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries = load().QUERIES
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    mapping.messages(spark, sf_dir)  # landing the packets is not part of a query
+    start = time.time()
+    mapping.messages(spark, sf_dir)  # landing the packets is timed apart
+    landing = round(time.time() - start, 3)
+    small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    if os.path.isdir(small):  # compile and touch everything once, so that the first query is not the slowest for being first
+        for name in HEADLINE:
+            queries[name](spark, small).write.format("noop").mode("overwrite").save()
     took = {}
     for name in HEADLINE:
         start = time.time()
@@ -34,7 +41,7 @@ def main() -> None:
     total = round(sum(took.values()), 3)
     print(json.dumps({
         "metric": "headline_queries_total", "value": total, "unit": "sec", "queries": took,
-        "sf": os.path.basename(sf_dir), "rows": rows,
+        "sf": os.path.basename(sf_dir), "rows": rows, "landing_sec": landing,
         "messages_per_sec": {n: round(rows / t) for n, t in took.items()}}))
     spark.stop()
 

@@ -11,15 +11,16 @@ INT2 = (-32_768, 32_767)
 INT4 = (-2_147_483_648, 2_147_483_647)
 INT8 = (-9_007_199_254_740_991, 9_007_199_254_740_991)
 
+# fixed values: what a number and a quantity look like
 _PREFIX = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 _PLAIN = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)$"
 _WHOLE = r"^([+-]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d+)?)$"
 _QUANTITY = r"^([+-]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d+)?)\s*([A-Za-z]+)?$"
 _LARGEST = 1.7976931348623157e308
 
-# fixed values: factor to the canonical unit, as multiply (positive) or divide (negative)
-ENERGY_UNITS = {"wh": -1000, "kwh": 1, "mwh": 1000}
-POWER_UNITS = {"w": -1000, "kw": 1, "mw": 1000}
+# fixed values: how a unit becomes the canonical one
+ENERGY_UNITS = {"wh": ("divide", 1000), "kwh": ("multiply", 1), "mwh": ("multiply", 1000)}
+POWER_UNITS = {"w": ("divide", 1000), "kw": ("multiply", 1), "mw": ("multiply", 1000)}
 
 
 def _read(text: Column, digits, body) -> Column:
@@ -99,7 +100,7 @@ def _unit_key(unit: Column) -> Column:
     return F.when(~F.startswith(u, F.lit("m")), F.lower(u))
 
 
-def quantity(text: Column, units: dict[str, int], canonical: str, unsigned: bool,
+def quantity(text: Column, units: dict[str, tuple[str, int]], canonical: str, unsigned: bool,
              unit: Column | None = None, unit_given: Column | bool = False) -> Column:
     """A complete quantity in the canonical unit, or null.
 
@@ -113,9 +114,9 @@ def quantity(text: Column, units: dict[str, int], canonical: str, unsigned: bool
     def scaled(q):
         used = F.when(q["suffixed"], q["suffix"]).when(q["given"], q["explicit"]).otherwise(F.lit(canonical))
         value = F.when(used == canonical, q["n"])
-        for name, factor in units.items():
+        for name, (operation, by) in units.items():
             if name != canonical:
-                value = value.when(used == name, q["n"] / -factor if factor < 0 else q["n"] * factor)
+                value = value.when(used == name, q["n"] / by if operation == "divide" else q["n"] * by)
         agrees = (~q["suffixed"] | known_word(q["suffix"])) & (~q["given"] | known_word(q["explicit"])) & (
             ~q["suffixed"] | ~q["given"] | F.coalesce(q["suffix"] == q["explicit"], F.lit(False)))
         readable = q["n"].between(-_LARGEST, _LARGEST) & ((q["n"] >= 0) if unsigned else F.lit(True))

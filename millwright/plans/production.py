@@ -187,12 +187,9 @@ cuts AS (
     SELECT seq, timed, company_id, x, y, unnest([x, y]) AS c FROM bk
     UNION ALL SELECT seq, timed, company_id, x, y,
       unnest(range((x + 19800) // 3600 * 3600 - 19800 + 3600, y, 3600)) FROM bk
-    UNION ALL SELECT seq, timed, company_id, x, y,
-      unnest(range((x + 19800) // 86400 * 86400 - 19800, y, 86400)) + unnest(bounds) FROM (
-        SELECT seq, timed, company_id, x, y, d_ , bounds FROM bk, (SELECT [21600, 50400, 79200] AS bounds), (SELECT 1 AS d_)) WHERE false
     UNION ALL SELECT bk.seq, bk.timed, bk.company_id, x, y, day + b FROM bk,
       LATERAL (SELECT unnest(range((x + 19800) // 86400 * 86400 - 19800, y, 86400)) AS day),
-      (SELECT unnest([21600, 50400, 79200]) AS b))
+      (SELECT unnest([21600, 46800, 50400, 79200]) AS b))
   WHERE c >= x AND c <= y),
 sl AS (SELECT *, lead(c) OVER (PARTITION BY seq, timed, x, y ORDER BY c) AS nx FROM cuts),
 pieces AS (
@@ -209,10 +206,6 @@ slices AS (SELECT seq, company_id, machine_id, CAST(shift_id AS BIGINT) AS shift
     CASE WHEN timed AND manual THEN seconds ELSE 0 END AS manual, CASE WHEN is_last THEN produced ELSE 0 END AS produced,
     coalesce(CASE WHEN y > x THEN energy * seconds / (y - x) ELSE energy END, 0) AS energy FROM sh WHERE shift_id IS NOT NULL)
 """
-BOOKINGS_SQL = BOOKINGS_SQL.replace('''    UNION ALL SELECT seq, timed, company_id, x, y,
-      unnest(range((x + 19800) // 86400 * 86400 - 19800, y, 86400)) + unnest(bounds) FROM (
-        SELECT seq, timed, company_id, x, y, d_ , bounds FROM bk, (SELECT [21600, 50400, 79200] AS bounds), (SELECT 1 AS d_)) WHERE false
-''', '')
 
 
 @query("interval_split", f"""{STEPS}, {BOOKINGS_SQL} SELECT seq, machine_id, shift_id, hour_start, c AS slice_from, seconds, is_last

@@ -135,7 +135,35 @@ def _through(spark, rows, name, operator, time):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query("lag_alerts")
+# the state goes from window to window of a plant: machines shown as late with their step and when last heard, and when a line was shown
+LAG_SQL = """lw AS (SELECT plant_id, machine_id, recv_ms // 60000 * 60 AS window_start, count(*) FILTER (WHERE lag_ms > 10000) AS late_readings,
+    max(lag_ms) FILTER (WHERE lag_ms > 10000) AS worst_ms, max(recv_ms) AS last_ms, arg_max(lag_ms <= 10000, seq) AS ends_on_time FROM f GROUP BY 1, 2, 3),
+ws AS (SELECT plant_id, window_start, (window_start + 60) * 1000 AS now_ms, list({'m': machine_id, 'n': late_readings, 'worst': worst_ms,
+    'step': (coalesce(worst_ms, 0) > 60000)::INT + (coalesce(worst_ms, 0) > 120000)::INT + (coalesce(worst_ms, 0) > 240000)::INT, 'heard': last_ms, 'well': ends_on_time}
+    ORDER BY machine_id) AS seen, row_number() OVER (PARTITION BY plant_id ORDER BY window_start) AS rn FROM lw GROUP BY 1, 2),
+walk AS (
+  SELECT plant_id, 0::BIGINT AS rn, 0::BIGINT AS window_start, []::STRUCT(m BIGINT, step INT, heard BIGINT)[] AS shown, NULL::BIGINT AS told_ms,
+    false AS fired, []::BIGINT[] AS late, 0::HUGEINT AS n, NULL::BIGINT AS worst, 0 AS step, []::BIGINT[] AS back FROM ws WHERE rn = 1
+  UNION ALL
+  SELECT plant_id, rn, window_start, kept, CASE WHEN len(back) > 0 AND len(kept) = 0 THEN now_ms WHEN fired THEN now_ms ELSE told_ms END, fired,
+    list_transform(tardy, lambda r: r.m), list_sum(list_transform(tardy, lambda r: r.n)), worst, step, back
+  FROM (SELECT *, list_filter(CASE WHEN fired THEN list_concat(list_filter(held, lambda s: NOT list_contains(list_transform(tardy, lambda r: r.m), s.m)),
+      list_transform(tardy, lambda r: {'m': r.m, 'step': r.step, 'heard': r.heard})) ELSE held END, lambda s: NOT list_contains(back, s.m)) AS kept
+    FROM (SELECT *, len(tardy) > 0 AND (len(known) < len(tardy) OR step > list_max(known) OR told_ms IS NULL OR now_ms - told_ms >= 900000) AS fired
+      FROM (SELECT *, list_max(list_transform(tardy, lambda r: r.worst)) AS worst, list_max(list_transform(tardy, lambda r: r.step)) AS step,
+          list_transform(list_filter(held, lambda s: list_contains(list_transform(tardy, lambda r: r.m), s.m)), lambda s: s.step) AS known,
+          list_transform(list_filter(seen, lambda r: r.well AND list_contains(list_transform(held, lambda s: s.m), r.m)), lambda r: r.m) AS back
+        FROM (SELECT x.*, w.told_ms, list_filter(x.seen, lambda r: r.n > 0) AS tardy,
+            list_filter(list_transform(w.shown, lambda s: {'m': s.m, 'step': s.step, 'heard': coalesce(list_max(list_transform(list_filter(x.seen, lambda r: r.m = s.m), lambda r: r.heard)), s.heard)}),
+              lambda s: x.now_ms - s.heard <= 86400000) AS held
+          FROM walk w JOIN ws x ON x.plant_id = w.plant_id AND x.rn = w.rn + 1))))),
+told AS (SELECT plant_id, window_start, 'late' AS kind, CASE WHEN step >= 2 THEN 'error' ELSE 'warn' END AS level, late AS ms, CAST(n AS BIGINT) AS late_readings,
+    worst AS worst_ms FROM walk WHERE fired
+  UNION ALL SELECT plant_id, window_start, 'recovered', 'info', back, 0, NULL FROM walk WHERE len(back) > 0)"""
+
+
+@query("lag_alerts", f"""{FLEET.replace('WITH', 'WITH RECURSIVE', 1)}, {LAG_SQL}
+  SELECT plant_id, window_start, kind, level, array_to_string(ms, ',') AS machines, late_readings, worst_ms FROM told""")
 def lag_alerts_query(spark, d):
     rows = fleet(spark, d, "plant_id").select("plant_id", "machine_id", "seq", "recv_ms", "lag_ms")
     return _through(spark, stateful.machine_windows(rows, MAPPED), "alerts", stateful.lag_alerts, "window_start").withColumn(
