@@ -10,6 +10,7 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20  # texts are worked on in runs of whole documents of about this size
 _ODD = 0x9E3779B97F4A7C15  # any odd number; the golden ratio spreads bits well
 _INVERSE = pow(_ODD, -1, 1 << 64)
+_KEPT = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 _SEEDED = np.random.default_rng(20240601).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
 
 
@@ -45,6 +46,16 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the odd number and of its inverse, at least n; kept, as every run of documents needs them."""
+    if len(_KEPT[0]) < n:
+        steps = np.full((2, max(n, 2 * CHUNK_BYTES)), _ODD, dtype=np.uint64)
+        steps[1] = _INVERSE
+        steps[:, 0] = 1
+        _KEPT[0], _KEPT[1] = np.cumprod(steps[0]), np.cumprod(steps[1])
+    return _KEPT[0], _KEPT[1]
+
+
 class Prefixes:
     """Hashes of any byte range of one array, from running sums: equal ranges hash alike wherever they stand."""
 
@@ -52,11 +63,7 @@ class Prefixes:
         """``data``: bytes, or any 64-bit numbers that are hashes themselves."""
         n = len(data)
         values = _SEEDED[seed][data] if data.dtype == np.uint8 else mixed(data + np.uint64(seed)) | np.uint64(1)
-        steps = np.full(n + 1, _ODD, dtype=np.uint64)
-        steps[0] = 1
-        power = np.cumprod(steps)
-        steps[1:] = _INVERSE
-        self._undo = np.cumprod(steps)
+        power, self._undo = _powers(n + 1)
         self._sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(values * power[:n], out=self._sums[1:])
 

@@ -12,24 +12,39 @@ from __future__ import annotations
 
 import numpy as np
 
+from millwright.llm.arrays import Prefixes
+
 SHARD_BYTES = 1 << 19
+MOST_BYTES = 50  # of a symbol
 
 
 def symbol_bytes(length: int) -> int:
-    """The largest symbol of at most 16 bytes that divides ``length``."""
-    return max(d for d in range(1, 17) if length % d == 0)
+    """The largest symbol of at most ``MOST_BYTES`` that divides ``length``."""
+    return max(d for d in range(1, MOST_BYTES + 1) if length % d == 0)
 
 
 def _alphabet(data: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
-    """A dense number for the ``step`` bytes from each position, equal exactly where all bytes are, in byte order."""
-    ranks = np.zeros(len(at), dtype=np.int64)
-    for begin in range(0, step, 8):
-        word = np.zeros(len(at), dtype=np.uint64)
-        for i in range(begin, min(begin + 8, step)):
-            word = word << np.uint64(8) | data[at + i].astype(np.uint64)
-        part = np.unique(word, return_inverse=True)[1]
-        ranks = np.unique(ranks * (int(part.max(initial=0)) + 1) + part, return_inverse=True)[1]
-    return ranks
+    """A dense number for the ``step`` bytes from each position, equal exactly where all bytes are.
+
+    Numbers come from hashes, and every position is then compared, byte by byte, with the first of its number; where
+    any differs, the numbers are made from the bytes themselves.
+    """
+    if not len(at):
+        return np.zeros(0, dtype=np.int64)
+    _, first, ranks = np.unique(Prefixes(data).of(at, at + step), return_index=True, return_inverse=True)
+    model = at[first][ranks]
+    if all(np.array_equal(data[at + i], data[model + i]) for i in range(step)):
+        return ranks
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, step)[at])
+    return np.unique(rows.view(f"V{step}").ravel(), return_inverse=True)[1]
+
+
+def _stable(ranks: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative ranks below 2 ** 32, by halves of 16 bits, which numpy sorts by radix."""
+    low = np.argsort((ranks & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(ranks) and ranks.max() > 0xFFFF:
+        return low[np.argsort((ranks >> 16).astype(np.uint16)[low], kind="stable")]
+    return low
 
 
 class Shard:
@@ -47,7 +62,7 @@ class Shard:
             known, jump = known * 2, jump[jump]
             if len(rank) == int(rank.max()) + 1:
                 break
-        self.rows = np.argsort(rank, kind="stable")
+        self.rows = _stable(rank)
         self.transform = before[self.rows]
 
 
@@ -64,7 +79,7 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.n
         for i, shard in enumerate(shards):
             before[interleave == i] = shard.transform
         has = np.flatnonzero(before >= 0)
-        order = has[np.argsort(before[has], kind="stable")]
+        order = has[_stable(before[has])]
         symbol, held = before[order], block[order]
         border = np.concatenate(([True], (symbol[1:] != symbol[:-1]) | (held[1:] != held[:-1])))[:len(order)]
         interleave = np.concatenate((ends, interleave[order]))
