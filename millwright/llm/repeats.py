@@ -34,7 +34,6 @@ GROUP_CELLS = 256  # different cells under one key that go to one task together
 TASK_BYTES = 4 << 20
 MERGE_BYTES = 1 << 20  # cells whose transforms are merged at a time
 WIDTHS = (32, 4, 1)  # window starts dealt together, step by step, under crowded anchors
-BROADCAST_ROWS = 100_000  # cells to read, under 100 bytes each; beyond this the join shuffles
 PLACE_BITS = 28
 CELL = "k1 long, k2 long, place long, windows int, back int, a1 long, a2 long, s1 long, s2 long"
 
@@ -103,10 +102,9 @@ def _spans(cells: DataFrame, length: int) -> DataFrame:
 
 def _read_cells(cells: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """``cells`` with their bytes, as ``body``."""
-    few = cells.count() <= BROADCAST_ROWS
     named = [c for c in cells.columns if c not in ("k1", "k2")]
     by_row = cells.groupBy("k1", "k2").agg(F.collect_list(F.struct(*named)).alias("cells"))  # as many as one text has
-    joined = texts.dropDuplicates(["k1", "k2"]).join(by_row, ["k1", "k2"]) if not few else texts.join(F.broadcast(by_row), ["k1", "k2"])
+    joined = texts.join(by_row, ["k1", "k2"])
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
 
     def run(batches):
