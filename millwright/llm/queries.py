@@ -79,7 +79,7 @@ def op6_bottom_k_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token pieces of all documents in sequences of at most 2048."""
-    return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 @_query

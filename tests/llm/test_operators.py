@@ -277,10 +277,14 @@ def packed_soundly(rows, capacity):
     return len(bins)
 
 
-def test_packing(docs, corpus, empty):
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken"])
+def test_packing(docs, corpus, empty, file):
     from tokenizers import Tokenizer
     coder = Tokenizer.from_file(WORDS)
-    rows = packing.pack_documents(docs.withColumn("length", F.lit("clash")), WORDS, 256, with_ids=True).collect()
+    odd = docs.withColumn("text", F.when(F.col("doc_id") == 5, "a <|endoftext|> b\u00a0c\u3000 \u0131\u017f \r\n\t x").otherwise(F.col("text")))
+    corpus = [(i, "a <|endoftext|> b\u00a0c\u3000 \u0131\u017f \r\n\t x" if i == 5 else t) for i, t in corpus]
+    coder.encode_special_tokens = True
+    rows = packing.pack_documents(odd.withColumn("length", F.lit("clash")), public_tokenizers.path(file), 256, with_ids=True).collect()
     packed_soundly(rows, 256)
     for i, text in corpus:
         ids = coder.encode(text or "", add_special_tokens=False).ids + [0]
