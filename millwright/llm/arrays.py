@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20  # texts are worked on in runs of whole documents of about this size
+CHUNK_BYTES = 1 << 19  # texts are worked on in runs of whole documents of about this size
 _ODD = 0x9E3779B97F4A7C15  # any odd number; the golden ratio spreads bits well
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _KEPT = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]

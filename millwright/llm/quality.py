@@ -23,7 +23,7 @@ from millwright.llm.features import counted, quality_groups, summed
 class QualityParams:
     bits: int = 17  # the table has 2 ** bits vectors
     dims: int = 8
-    sample: int = 3_000  # labelled rows to train on, at most; chosen by a hash of their identifier
+    sample: int = 2_000  # labelled rows to train on, at most; chosen by a hash of their identifier
     epochs: int = 4
     least_steps: int = 12_000  # a small sample is gone over more often
     rate: float = 4.0
@@ -61,9 +61,11 @@ def sampled_features(sample: DataFrame, groups, bits: int, names: list[str]) ->
                     + [batch.column(n).slice(a, count) for n in names], ["id", "buckets", "shares", *names])
 
     schema = f"id {sample.schema['id'].dataType.simpleString()}, buckets binary, shares binary, " + ", ".join(f"{n} int" for n in names)
-    rows = sorted(sample.mapInArrow(features, schema).collect(), key=lambda r: (str(r.id), r.buckets))
-    found = [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32)) for r in rows]
-    return found, np.array([[r[n] or 0 for n in names] for r in rows], dtype=np.int64).reshape(len(rows), len(names))
+    made = sample.mapInArrow(features, schema).toArrow()  # as Arrow, not rows: the driver holds the sample's features once
+    ids, buckets, shares = (made.column(c).to_pylist() for c in ("id", "buckets", "shares"))
+    order = sorted(range(len(ids)), key=lambda i: (str(ids[i]), buckets[i]))
+    marks = np.array([[v or 0 for v in made.column(n).to_pylist()] for n in names], dtype=np.int64).reshape(len(names), len(ids)).T
+    return [(np.frombuffer(buckets[i], np.int32), np.frombuffer(shares[i], np.float32)) for i in order], marks[order]
 
 
 def train(examples: list, labels: np.ndarray, params: QualityParams = DEFAULTS) -> tuple[np.ndarray, float]:

@@ -24,7 +24,7 @@ CATEGORIES = ("insult_en", "insult_de", "insult_fr", "insult_es", "toxic")  # th
 @dataclass(frozen=True)
 class ToxicityParams:
     bits: int = 20
-    sample: int = 8_000  # labelled rows to train on, at most; chosen by a hash of their identifier
+    sample: int = 5_000  # labelled rows to train on, at most; chosen by a hash of their identifier
     per_category: int = 64  # features with the strongest sign of a category
     least_z: float = 6.0  # of a selected feature's excess among the category's documents
     least_documents: int = 4
