@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 CATALOG = load()
 QUICK = ("shift_at", "unknown_machines", "parts_delta", "observation_gaps", "production_hourly", "canonical_keys", "arrival_order", "alarm_periods",
-         "critical_events", "meter_merge", "lag_episodes", "late_windows", "identity_update", "replay_safe_commit", "range_guard", "quarantine_summary")
+         "critical_events", "meter_merge", "lag_episodes", "late_windows", "identity_update", "replay_safe_commit", "range_guard", "quarantine_summary",
+         "pipeline_readings", "pipeline_hourly", "priority_match", "priority_events", "lag_alerts", "identity_rate_limit", "bounded_entries")
 NAMES = sorted(CATALOG.ORACLES) if os.environ.get("MILLWRIGHT_ALL") else QUICK
 
 
