@@ -8,18 +8,21 @@ partitions and packed again. An exchange that does not lower the number of bins
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import zlib
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.bpe import load_ranks
+from millwright.llm.bpe import MAX_KEPT_BYTES, MAX_PIECES, encoder
 from millwright.session import scratch_table
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -28,24 +31,56 @@ SETTLED_FILL = 0.99  # bins filled so far stay as they are
 MAX_ROUNDS = 4
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str):
-    """Texts to lists of ids, by a rank file (.tiktoken) or a tokenizer file; special tokens in a text are ordinary text.
+class PieceEncoder(dict):
+    """Texts to the bytes of their ids (uint32) by a tokenizer file; as a mapping, pieces to theirs, with the most recent kept.
 
-    Where a vocabulary comes in both forms the ids are the same, and the ranks are several times faster on one core.
+    Where the file says nothing but byte-level pairs, a text is split here and each piece is merged by the library's model once.
+    Any other file, and a text with one of the file's added tokens, goes to the library as a whole.
     """
-    if path.endswith(".tiktoken"):
-        import public_tokenizers
-        import tiktoken
 
-        coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
-        return lambda texts: map(coder.encode_ordinary, texts)
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        with open(path, "rb") as f:
+            told = json.load(f)
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.added = [t["content"] for t in told["added_tokens"] if not t["special"]]
+        model, first = told["model"], told["pre_tokenizer"] or {}
+        self.plain = (not told["normalizer"] and not told["post_processor"] and not told["truncation"] and not told["padding"] and first.get("type") == "ByteLevel"
+                      and not first["add_prefix_space"] and first["use_regex"] and model["type"] == "BPE" and not model["dropout"])
+        self.tokenize, self.split = self.whole.model.tokenize, regex.compile(public_tokenizers.PATTERN).findall
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file; the others follow U+0100
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def __missing__(self, piece: str) -> bytes:
+        data = piece.encode()
+        if len(data) > MAX_KEPT_BYTES:
+            return self._whole(piece)
+        if len(self) >= MAX_PIECES:
+            self.clear()
+        ids = self[piece] = np.array([t.id for t in self.tokenize(data.decode("latin-1").translate(self.letters))], dtype="<u4").tobytes()
+        return ids
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if not self.plain or any(t in text for t in self.added):
+            return self._whole(text)
+        return b"".join(map(self.__getitem__, self.split(text)))
+
 
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    return lambda texts: (e.ids for e in whole.encode_batch(texts, add_special_tokens=False))
+@lru_cache(maxsize=2)
+def _encoder(path: str):
+    """A text to the bytes of its ids, by a rank file (.tiktoken) or a tokenizer file; special tokens in a text are ordinary text."""
+    if path.endswith(".tiktoken"):
+        ranked = encoder(path, public_tokenizers.PATTERN)
+        return lambda text: np.array(ranked.encode(text), dtype="<u4").tobytes()
+    return PieceEncoder(path).encode
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -56,13 +91,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
     rows = docs.select(id_col, text_col)
 
     def run(batches):
-        encode = _encoder(tokenizer)
+        encode, end = _encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 32):
                 part = batch.slice(at, 32)
                 doc, piece, start, length, crc, kept = [], [], [], [], [], []
-                for i, found in enumerate(encode([t or "" for t in part.column(text_col).to_pylist()])):
-                    ids = np.array([*found, end_id], dtype="<u4")
+                for i, text in enumerate(part.column(text_col).to_pylist()):
+                    ids = np.frombuffer(encode(text or "") + end, dtype="<u4")
                     edges = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
                     for k, (a, b) in enumerate(zip(edges, edges[1:])):
                         doc.append(i), piece.append(k), start.append(a), length.append(b - a)

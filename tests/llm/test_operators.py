@@ -296,6 +296,28 @@ def test_packing(docs, corpus, empty, file):
     assert packing.pack_documents(empty, WORDS).count() == 0
 
 
+def test_long_white_space_is_packed(spark):
+    from tokenizers import Tokenizer
+    coder = Tokenizer.from_file(WORDS)
+    texts = [" " * 2_000_000, "\n" * 2_000_000 + "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for file in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"):
+        pieces = packing.token_pieces(docs, public_tokenizers.path(file), 2048).groupBy("doc_id").agg(F.sum("length").alias("length")).collect()
+        assert {r.doc_id: r.length for r in pieces} == {i: len(coder.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
+def test_pieces_are_the_library_ids():
+    """Every code point between letters, digits, spaces and alone, and words, marks and white space mixed."""
+    from tokenizers import Tokenizer
+    coder, own = Tokenizer.from_file(WORDS), packing.PieceEncoder(WORDS)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b {c}1{c}  {c}" for c in points[k:k + 64]) for k in range(0, 0x32000, 64)]
+    rng = random.Random(5)
+    texts += ["".join(rng.choice(list(" aehT's.é\n'0ß1漢😀\u200d|\t\u00a0\u3000")) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids, text
+
+
 def test_exchange_of_loose_bins(spark, monkeypatch):
     monkeypatch.setattr(packing, "PARTITION_PIECES", 40)
     rng = random.Random(8)
