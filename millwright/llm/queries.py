@@ -15,7 +15,7 @@ from millwright.llm.neighbours import nearest
 from millwright.llm.packing import pack_documents
 from millwright.llm.quality import DEFAULTS as QUALITY, held_out, score_texts, train_quality
 from millwright.llm.repeats import removal_digests
-from millwright.llm.sentences import without_repeated_sentences
+from millwright.llm.sentences import SpanParams, without_repeated_sentences
 from millwright.llm.sharding import shard_documents
 from millwright.llm.topk import exact_topk
 from millwright.llm.toxicity import CATEGORIES, DEFAULTS as TOXICITY, score_toxicity, train_toxicity
@@ -108,5 +108,5 @@ def op4_merged_transform_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the sentences of any span that stands at an earlier place too."""
-    return without_repeated_sentences(_documents(spark, sf_dir))
+    """Documents without the sentences of any run of two or more, however short, that stands at an earlier place too."""
+    return without_repeated_sentences(_documents(spark, sf_dir), SpanParams(words=1))  # runs of two cover all longer ones

@@ -366,6 +366,19 @@ def test_short_repeats_stay(spark):
     assert all(r.n_removed == 0 for r in sentences.without_repeated_sentences(docs).collect())
 
 
+def test_registered_query_takes_every_run_of_sentences(spark, corpus, tmp_path):
+    from millwright.llm import queries
+    words = [f"w{i}" for i in range(55)]
+    for i in (19, 23, 27, 31, 35):
+        words[i] += "."  # 16 words in whole sentences; the outer ones run on into the text around
+    rows = [(1000 + k, f"Own start {k}. Before {k} {' '.join(words)} after {k}. Own end {k}.") for k in range(3)]
+    spark.createDataFrame(corpus + rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(by_id(queries.QUERIES["op8_sentence_span_dedup"](spark, str(tmp_path)), "doc_id", "text"))
+    assert [("w25" in got[i]) for i in (1000, 1001, 1002)] == [True, False, False]
+    want = plain.span_removal([i for i, _ in corpus + rows], [t for _, t in corpus + rows], 2, 1)
+    assert [t or "" for t in got.values()] == want
+
+
 # 9 toxicity and 10 quality
 
 @pytest.fixture(scope="module")
