@@ -9,6 +9,7 @@ its vector's share of the difference of the two logits.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from millwright.llm.features import counted, quality_groups, summed
 class QualityParams:
     bits: int = 17  # the table has 2 ** bits vectors
     dims: int = 8
-    sample: int = 2_000  # labelled rows to train on, at most; chosen by a hash of their identifier
+    sample: int = 3_000  # labelled rows to train on, at most; chosen by a hash of their identifier
     epochs: int = 4
     least_steps: int = 12_000  # a small sample is gone over more often
     rate: float = 4.0
@@ -61,11 +62,14 @@ def sampled_features(sample: DataFrame, groups, bits: int, names: list[str]) ->
                     + [batch.column(n).slice(a, count) for n in names], ["id", "buckets", "shares", *names])
 
     schema = f"id {sample.schema['id'].dataType.simpleString()}, buckets binary, shares binary, " + ", ".join(f"{n} int" for n in names)
-    made = sample.mapInArrow(features, schema).toArrow()  # as Arrow, not rows: the driver holds the sample's features once
-    ids, buckets, shares = (made.column(c).to_pylist() for c in ("id", "buckets", "shares"))
-    order = sorted(range(len(ids)), key=lambda i: (str(ids[i]), buckets[i]))
+    made = sample.mapInArrow(features, schema).toArrow()
+    ids = [str(i) for i in made.column("id").to_pylist()]
+    # arrays over the Arrow buffers themselves: the driver's Python holds the sample's features once
+    buckets, shares = ([np.frombuffer(v.as_buffer(), t) for v in made.column(c)] for c, t in (("buckets", np.int32), ("shares", np.float32)))
+    alike = groupby(sorted(range(len(ids)), key=ids.__getitem__), key=ids.__getitem__)
+    order = [i for _, same in alike for i in sorted(same, key=lambda i: buckets[i].tobytes())]
     marks = np.array([[v or 0 for v in made.column(n).to_pylist()] for n in names], dtype=np.int64).reshape(len(names), len(ids)).T
-    return [(np.frombuffer(buckets[i], np.int32), np.frombuffer(shares[i], np.float32)) for i in order], marks[order]
+    return [(buckets[i], shares[i]) for i in order], marks[order]
 
 
 def train(examples: list, labels: np.ndarray, params: QualityParams = DEFAULTS) -> tuple[np.ndarray, float]:

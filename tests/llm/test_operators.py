@@ -454,6 +454,23 @@ def test_toxicity_chain(marked):
     assert kept.columns == docs.columns and 350 < kept.count() < 560
 
 
+def test_samples_are_whole_and_held_once(marked):
+    import pyarrow as pa
+    from millwright.llm.features import quality_groups
+    docs, labels, _ = marked
+    assert (quality.DEFAULTS.sample, toxicity.DEFAULTS.sample) == (3_000, 8_000)
+    sample = quality.labelled_sample(docs, labels.select("doc_id", "quality"), 3_000)
+    examples, marks = quality.sampled_features(sample, quality_groups, 12, ["quality"])
+    assert len(examples) == len(marks) == 601
+
+    def owner(array):
+        while isinstance(array, (np.ndarray, memoryview)):
+            array = array.base if isinstance(array, np.ndarray) else array.obj
+        return array
+
+    assert all(isinstance(owner(a), pa.Buffer) for example in examples for a in example if len(a))  # no copy beside Arrow's
+
+
 def test_out_of_fold_probabilities_feed_the_chain():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2, size=(300, 4)).astype(float)
