@@ -38,7 +38,8 @@ DEFAULTS = QualityParams()
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, label columns) of at most ``limit`` labelled documents; ``labels`` has the identifier and label columns."""
     names = [c for c in labels.columns if c != id_col]
-    chosen = labels.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(limit)
+    here = docs.select(F.col(id_col).alias("here_id"))  # labels of documents that are not here must not use up the limit
+    chosen = labels.join(here, F.col(id_col) == F.col("here_id"), "left_semi").dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(limit)
     chosen = chosen.select(F.col(id_col).alias("labelled_id"), F.struct(*names).alias("labels"))
     # at most `limit` rows of an identifier and its labels: a bounded broadcast
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("labelled_id"))

@@ -471,6 +471,14 @@ def test_samples_are_whole_and_held_once(marked):
     assert all(isinstance(owner(a), pa.Buffer) for example in examples for a in example if len(a))  # no copy beside Arrow's
 
 
+def test_labels_of_absent_documents_use_up_no_limit(marked, spark):
+    docs, labels, _ = marked
+    absent = spark.range(10_000, 15_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    for table in (labels, labels.union(absent)):
+        rows = quality.labelled_sample(docs, table, 100).select("id", "toxic").collect()
+        assert len(rows) == 100 and all(r.id <= 1000 for r in rows)
+
+
 def test_out_of_fold_probabilities_feed_the_chain():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2, size=(300, 4)).astype(float)
