@@ -11,6 +11,7 @@ import public_tokenizers
 
 from millwright.llm.bpe import round_trip_digests
 from millwright.llm.minhash import NearParams, near_duplicates
+from millwright.llm.mixing import mix_sources
 from millwright.llm.neighbours import nearest
 from millwright.llm.packing import pack_documents
 from millwright.llm.quality import DEFAULTS as QUALITY, held_out, score_texts, train_quality
@@ -110,3 +111,27 @@ def op4_merged_transform_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the sentences of any run of two or more, however short, that stands at an earlier place too."""
     return without_repeated_sentences(_documents(spark, sf_dir), SpanParams(words=1))  # runs of two cover all longer ones
+
+
+@_query
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of all sources takes, repeats counted."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    mixed = mix_sources(docs, carry=["doc_id", "source"])
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
+
+
+ORACLES["op13_source_mix"] = """
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+             concat_ws(':', 'mix', doc_id, md5(coalesce(text, ''))) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST) AS k FROM s),
+a AS (SELECT *, (SELECT sum(source_size) FROM s) - 3 * coalesce(sum(source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+             sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM o),
+l AS (SELECT k, rest, ws FROM a WHERE w * rest <= 3 * source_size * ws ORDER BY k LIMIT 1),
+t AS (SELECT a.source, a.source_size, CASE WHEN a.k < l.k THEN CAST(3 * a.source_size AS DOUBLE) ELSE CAST(a.w * l.rest AS DOUBLE) / CAST(l.ws AS DOUBLE) END AS target FROM a, l),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, d.source, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
+        CAST(CAST('0x' || substr(md5(concat_ws(':', key, row_number() OVER (PARTITION BY key ORDER BY size) - 1)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS drawn
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CASE WHEN drawn < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken, source FROM r
+"""
