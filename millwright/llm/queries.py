@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from millwright.llm.bpe import round_trip_digests
+from millwright.llm.divergence import divergence_audit
 from millwright.llm.minhash import NearParams, near_duplicates
 from millwright.llm.mixing import mix_sources
 from millwright.llm.neighbours import nearest
@@ -113,6 +114,33 @@ def op8_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_sentences(_documents(spark, sf_dir), SpanParams(words=1))  # runs of two cover all longer ones
 
 
+@_query
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every source of a language differs from each other one, and the ten terms it uses most beyond its language."""
+    return divergence_audit(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang", "source"))
+
+
+ORACLES["op12_divergence_audit"] = """
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+o AS (SELECT id, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+z AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT z.*, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS BIGINT) AS p FROM z JOIN v USING (lang)),
+l AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS BIGINT) AS q
+      FROM (SELECT lang, term, sum(n) AS n FROM z GROUP BY lang, term) JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM t WHERE part = 'pair' OR rank <= 10
+"""
+
+
 @_query
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix of all sources takes, repeats counted."""
