@@ -21,6 +21,7 @@ from millwright.llm.sentences import SpanParams, without_repeated_sentences
 from millwright.llm.sharding import shard_documents
 from millwright.llm.topk import exact_topk
 from millwright.llm.toxicity import CATEGORIES, DEFAULTS as TOXICITY, score_toxicity, train_toxicity
+from millwright.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,6 +115,12 @@ def op8_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_sentences(_documents(spark, sf_dir), SpanParams(words=1))  # runs of two cover all longer ones
 
 
+@_query
+def op11_multiplicity_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's first eight whitened components, from the different vectors weighted by how often they stand."""
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), carry=["vec_id"])
+
+
 @_query
 def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How every source of a language differs from each other one, and the ten terms it uses most beyond its language."""
