@@ -92,7 +92,7 @@ def arrival_order(spark, d):
 
 
 # one group per distinct payload: a copy is equal unless its time comes from the receipt
-SAME_SQL = "event_seq * 2 + CASE WHEN no_time THEN copy ELSE 0 END"
+SAME_SQL = "event_seq * 8 + CASE WHEN no_time THEN copy ELSE 0 END"
 
 
 @query("fingerprint", f"""{MSG} SELECT min(seq) AS first_seq, count(*) AS copies FROM q WHERE depth_ok AND time_ok GROUP BY {SAME_SQL}""")
@@ -102,7 +102,7 @@ def fingerprint_groups(spark, d):
     return prints.groupBy("fingerprint").agg(F.min("seq").alias("first_seq"), F.count("*").alias("copies")).drop("fingerprint")
 
 
-@query("dedup", f"""{MSG} SELECT seq, machine_id, copy = 0 OR no_time AS is_first FROM q JOIN a USING (machine_id)
+@query("dedup", f"""{MSG} SELECT seq, machine_id, NOT repeated AS is_first FROM q JOIN a USING (machine_id)
   WHERE depth_ok AND time_ok""")
 def dedup(spark, d):
     from millwright.operators.registry import registry_join
@@ -110,7 +110,7 @@ def dedup(spark, d):
         "seq", "api_key", "recv_ms", fingerprint(F.col("payload"), F.col("time_s").cast("long")).alias("fingerprint"))
     rows = materialise(registry_join(parsed, registry(spark, d).select(
         "api_key", "machine_id", "company_id", "is_active")).select("seq", "machine_id", "recv_ms", "fingerprint"))
-    return ops.first_copies(rows).select("seq", "machine_id", "is_first")
+    return ops.first_copies(rows, SENT).select("seq", "machine_id", "is_first")
 
 
 METER_SQL = """mo1 AS (SELECT seq, machine_id, standalone, recv_s - CASE WHEN seq % 7 = 3 THEN 40000 ELSE seq % 4 END AS obs_at,
@@ -136,17 +136,21 @@ def meter_order(spark, d):
 
 
 OUTCOME_SQL = f"""oc1 AS (SELECT p.*, a.company_id, topic_ok AND size_ok AND object_ok AND depth_ok AND time_ok AS envelope_ok,
-    a.machine_id IS NOT NULL AS known, p.recv_ms - obs_at * 1000 > 80000000 AS stale FROM p LEFT JOIN a USING (machine_id)),
-oc2 AS (SELECT * FROM oc1 WHERE envelope_ok AND known AND NOT disconnected AND (copy = 0 OR no_time) AND NOT stale),
+    a.machine_id IS NOT NULL AS known, p.recv_ms - obs_at * 1000 > 80000000 AS stale, {SAME_SQL} AS print FROM p LEFT JOIN a USING (machine_id)),
+oc2 AS (SELECT * FROM oc1 WHERE envelope_ok AND known AND NOT disconnected AND NOT repeated AND NOT stale),
 oc3 AS (SELECT *, NOT standalone AND coalesce(obs_at < max(CASE WHEN NOT standalone THEN obs_at END) OVER w, false) AS late1
   FROM oc2 WINDOW w AS (PARTITION BY machine_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-oc4 AS (SELECT *, CASE WHEN standalone THEN coalesce(obs_at < max(CASE WHEN standalone OR (NOT late1 AND has_kwh)
-    THEN obs_at END) OVER w, false) ELSE late1 END AS late
+oc4 AS (SELECT *, max(CASE WHEN standalone OR (NOT late1 AND has_kwh) THEN obs_at END) OVER w AS seen_at,
+    last_value(CASE WHEN NOT standalone AND NOT late1 THEN {{'at': obs_at, 'print': print}} END IGNORE NULLS) OVER w AS snapshot
   FROM oc3 WINDOW w AS (PARTITION BY machine_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+oc5 AS (SELECT *, CASE WHEN standalone THEN coalesce(obs_at < seen_at, false) ELSE late1 END AS late FROM oc4),
+oc6 AS (SELECT seq, late, NOT late AND CASE WHEN standalone THEN coalesce(obs_at = seen_at AND print = last_value(CASE WHEN standalone AND NOT late THEN print END IGNORE NULLS) OVER w, false)
+    ELSE coalesce(snapshot.at = obs_at AND snapshot.print = print, false) END AS unchanged
+  FROM oc5 WINDOW w AS (PARTITION BY machine_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 oc AS (SELECT oc1.*, CASE WHEN NOT envelope_ok THEN 'invalid' WHEN NOT known THEN 'unknown_machine'
-    WHEN NOT disconnected AND copy = 1 AND NOT no_time THEN 'duplicate' WHEN disconnected THEN 'disconnected'
-    WHEN stale THEN 'late_stale' WHEN late THEN 'late_out_of_order' ELSE 'accepted' END AS outcome
-  FROM oc1 LEFT JOIN (SELECT seq, late FROM oc4) l USING (seq))"""
+    WHEN NOT disconnected AND repeated THEN 'duplicate' WHEN disconnected THEN 'disconnected'
+    WHEN stale THEN 'late_stale' WHEN late THEN 'late_out_of_order' WHEN unchanged THEN 'duplicate' ELSE 'accepted' END AS outcome
+  FROM oc1 LEFT JOIN oc6 USING (seq))"""
 
 
 @query("classify_outcome", f"""{MSG}, {OUTCOME_SQL} SELECT seq, outcome, CASE WHEN envelope_ok THEN obs_at END AS obs_at FROM oc""")

@@ -97,8 +97,9 @@ def fleet(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
         "machine_status", F.col("status_word")).withColumn("energy", F.col("meter_kwh")).join(machines, "machine_id")
 
 
-# the stale limit that goes with the given spacing: readings are sent up to 40,000 s late without being stale
-SENT = MAPPED.with_(max_stale_ms=80_000_000)
+# the stale limit that goes with the given spacing: readings are sent up to 40,000 s late without being stale. Packets
+# are numbered by receipt, eight numbers a millisecond, so a chunk of arrivals is 24 days and each machine has two
+SENT = MAPPED.with_(max_stale_ms=80_000_000, chunk_seqs=1 << 34)
 
 # JSON text of one packet, from the columns above; k picks spellings, units and defects
 _TIME = """CASE WHEN no_time THEN '' ELSE concat('"time":', CASE WHEN seq % 107 = 0 THEN concat(sent_s, '000')
@@ -152,7 +153,9 @@ _LANDED: dict[tuple[str, str], DataFrame] = {}
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw packets (seq, topic, payload, recv_ms): every event as JSON, every 13th delivered twice.
+    """Raw packets (seq, topic, payload, recv_ms): every event as JSON, every 13th delivered twice, every 26th five times.
+
+    The copies come 5, 205 and 405 seconds and 25 hours after the first.
 
     Landed once per application as a Parquet table, as raw packets would be, in
     enough files to parse them on every core.
@@ -160,8 +163,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = readings(spark, sf_dir).selectExpr(
         "seq", "machine_id", f"{_PAYLOAD} AS payload", "recv_ms",
         "CASE WHEN seq % 127 = 0 THEN 'machines//telemetry' ELSE concat('machines/k', machine_id, '/telemetry') END AS topic",
-        "explode(CASE WHEN seq % 13 = 0 THEN array(0, 1) ELSE array(0) END) AS copy")
-    packets = sent.selectExpr("seq * 2 + copy AS seq", "topic", "payload", "recv_ms + copy * 5000 AS recv_ms")
+        "explode(CASE WHEN seq % 26 = 0 THEN array(0, 1, 2, 3, 4) WHEN seq % 13 = 0 THEN array(0, 1) ELSE array(0) END) AS copy")
+    late = sent.selectExpr("* EXCEPT (recv_ms)", "recv_ms + element_at(array(0, 5000, 205000, 405000, 90000000), copy + 1) AS recv_ms")
+    packets = late.selectExpr(f"(recv_ms - {EPOCH_2024}000) * 8 + copy AS seq", "topic", "payload", "recv_ms")
     landed = (spark.sparkContext.applicationId, sf_dir)
     if landed not in _LANDED:
         _LANDED[landed] = scratch_table(packets.repartition(spark.sparkContext.defaultParallelism * 2), "packets")
@@ -169,13 +173,14 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the same packets as columns: what a reader of the JSON must find
-MESSAGES_SQL = """p AS (SELECT t.* EXCLUDE (seq, recv_ms), t.seq AS event_seq, t.seq * 2 + copy AS seq, copy,
-    t.recv_ms + copy * 5000 AS recv_ms, seq % 127 > 0 AS topic_ok, seq % 131 > 0 AS size_ok,
-    seq % 101 > 0 AND seq % 103 > 0 AS object_ok, seq % 113 > 0 AS depth_ok,
-    seq % 107 > 0 AND seq % 109 > 0 AND seq % 137 > 0 AND seq % 139 > 0 AS time_ok, seq % 37 < 4 AS disconnected,
+MESSAGES_SQL = f"""p AS (SELECT t.* EXCLUDE (seq, recv_ms), t.seq AS event_seq, (t.recv_ms + offset_ms - {EPOCH_2024}000) * 8 + copy AS seq, copy,
+    copy IN (1, 2) AND NOT no_time AS repeated, t.recv_ms + offset_ms AS recv_ms, t.seq % 127 > 0 AS topic_ok, t.seq % 131 > 0 AS size_ok,
+    t.seq % 101 > 0 AND t.seq % 103 > 0 AS object_ok, t.seq % 113 > 0 AS depth_ok,
+    t.seq % 107 > 0 AND t.seq % 109 > 0 AND t.seq % 137 > 0 AND t.seq % 139 > 0 AS time_ok, t.seq % 37 < 4 AS disconnected,
     k % 19 > 0 AS has_kwh,
-    CASE WHEN no_time THEN (t.recv_ms + copy * 5000) // 1000 ELSE sent_s END AS obs_at
-  FROM t, (VALUES (0), (1)) c(copy) WHERE copy = 0 OR seq % 13 = 0),
+    CASE WHEN no_time THEN (t.recv_ms + offset_ms) // 1000 ELSE sent_s END AS obs_at
+  FROM t, (VALUES (0, 0), (1, 5000), (2, 205000), (3, 405000), (4, 90000000)) c(copy, offset_ms)
+  WHERE copy = 0 OR t.seq % 26 = 0 OR copy = 1 AND t.seq % 13 = 0),
 q AS (SELECT * FROM p WHERE topic_ok AND size_ok AND object_ok)"""
 
 

@@ -97,7 +97,7 @@ def stream_batch_stats(spark, d):
     return run(spark, d).read(spark, "stats").agg(F.sum("rows").alias("rows"))
 
 
-@query("stream_dedup", f"""{MSG} SELECT machine_id, count(*) AS messages FROM q JOIN a USING (machine_id) WHERE depth_ok AND time_ok AND (copy = 0 OR no_time) GROUP BY 1""")
+@query("stream_dedup", f"""{MSG} SELECT machine_id, count(*) AS messages FROM q JOIN a USING (machine_id) WHERE depth_ok AND time_ok AND NOT repeated GROUP BY 1""")
 def stream_dedup(spark, d):
     parsed = admission.parse(messages(spark, d)).where("envelope_ok").select(
         "seq", "api_key", "recv_ms", fingerprint(F.col("payload"), F.col("time_s").cast("long")).alias("fingerprint"))

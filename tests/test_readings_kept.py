@@ -1,6 +1,7 @@
 """Readings that must not be lost or misread: repeated keys, look-alike texts, odd numbers, old copies, lagging collectors."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from millwright.functions.clock import time_to_seconds
 from millwright.functions.payload import block_of, canonical, fingerprint, object_of
 from millwright.functions.signals import identity_columns, process_columns
 from millwright.operators import admission, alarms, quality, tables
+from millwright.params import DEFAULTS
 from millwright.streaming.dedup import without_copies
 
 
@@ -54,6 +56,27 @@ def test_a_copy_is_forgotten_after_the_time_to_live(spark):
     assert got == {1: True, 2: False, 3: True, 4: True, 5: True, 6: True}
 
 
+def test_copies_count_from_the_one_taken_in(spark):
+    rng = random.Random(8)
+    rows, seq = [], 0
+    for m in (1, 2):
+        for name, n, span in (("a", 400, 9_000_000), ("b", 3, 700_000), ("c", 1, 1), ("hot", 900, 1_300_000), ("slow", 30, 60_000_000)):
+            for at in sorted(rng.randrange(0, span) for _ in range(n)):
+                rows.append([m, name, 0, at])
+    rows += [[3, "steady", 0, i * 200_000] for i in range(40)] + [[4, None, 0, 5]] * 3
+    rows = [(m, f, i, at) for i, (m, f, _, at) in enumerate(sorted(rows, key=lambda r: r[3]))]
+    held, want = {}, {}
+    for m, f, i, at in rows:
+        want[i] = f is None or (m, f) not in held or at - held[(m, f)] >= 300_000
+        if want[i]:
+            held[(m, f)] = at
+    df = spark.createDataFrame(rows, "machine_id INT, fingerprint STRING, seq LONG, recv_ms LONG")
+    for width in (1 << 24, 16):
+        got = {r.seq: r.is_first for r in admission.first_copies(df, DEFAULTS.with_(chunk_seqs=width)).collect()}
+        assert got == want
+    assert [i for i, r in enumerate(x for x in rows if x[0] == 3) if want[r[2]]] == list(range(0, 40, 2))
+
+
 def test_a_lagging_collector_loses_nothing(spark, tmp_path):
     schema = "machine_id INT, fingerprint STRING, seq LONG, recv_ms LONG"
     steps = [[(1, "a", 1, 2_000_000), (1, "a", 2, 2_001_000)], [(2, "b", 3, 1_100_000), (1, "a", 4, 2_002_000)], [(3, "c", 5, 900_000), (3, None, 6, 1), (3, None, 7, 1)]]
