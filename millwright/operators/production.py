@@ -12,10 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.functions.clock import hour_start
 from millwright.functions.status import is_manual, is_running
 from millwright.operators.scan import last, peak, prev, scan
-from millwright.operators.shifts import calendar_by_company, split_interval
+from millwright.operators.shifts import calendar_segments, split_interval
 from millwright.params import DEFAULTS, Params
 
 
@@ -164,7 +163,7 @@ def production_slices(steps: DataFrame, calendar: DataFrame, p: Params = DEFAULT
     Up to three intervals leave a reading: its state time (with parts and, when
     the meter baseline is the same reading, energy), the meter's own interval,
     and zero-length bookings for a rise within one second. They are built as
-    one array so that the scan below is read once.
+    one array so that the steps are read once.
     """
     at, prev_at, m_from = F.col("obs_at"), F.col("prev_at"), F.col("meter_from")
     used = F.coalesce(F.col("energy_delta") > 0, F.lit(False))
@@ -187,15 +186,9 @@ def production_slices(steps: DataFrame, calendar: DataFrame, p: Params = DEFAULT
                        booking(at, at, no, no, no, F.col("produced"), none))
     meter = F.when(allocated & (~same_base | (at == m_from)),
                    booking(m_from, at, no, no, no, zero, F.col("energy_delta")))
-    bookings = F.filter(F.array(state, parts_now, meter), lambda b: b.isNotNull())
-    # dimension rows are few per company; AQE broadcasts them when small and splits hot companies otherwise
-    rows = (
-        steps.select("company_id", "machine_id", bookings.alias("_b"))
-        .where(F.size("_b") > 0).select("company_id", "machine_id", F.explode("_b").alias("_b"))
-        .select("company_id", "machine_id", "_b.*")
-        .join(calendar_by_company(calendar), "company_id", "left")
-    )
-    s = split_interval(rows, "start_at", "end_at", p.zone_offset_s)
+    booked = steps.select("company_id", "machine_id", F.explode(F.array(state, parts_now, meter)).alias("_b")).where("_b IS NOT NULL")
+    rows = booked.select("company_id", "machine_id", "_b.*")
+    s = split_interval(rows, calendar_segments(calendar), "start_at", "end_at", p.zone_offset_s)
     timed = lambda flag: F.when(F.col("timed") & flag, F.col("seconds")).otherwise(0)
     whole = F.col("end_at") - F.col("start_at")
     share = F.when(whole > 0, F.col("energy") * F.col("seconds") / whole).otherwise(F.col("energy"))
@@ -243,14 +236,14 @@ def unallocated_totals(gaps: DataFrame) -> DataFrame:
              F.col("_g.gap_from").alias("last_gap_from"), F.col("_g.gap_to").alias("last_gap_to"))
 
 
-def same_second(steps: DataFrame) -> DataFrame:
-    """Readings whose counter or meter rose within the second of its baseline: zero-length bookings."""
+def same_second(steps: DataFrame, calendar: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Readings inside a shift whose counter or meter rose within the second of its baseline: zero-length bookings."""
     parts = F.when(F.col("prev_at").isNotNull() & (F.col("gap_s") == 0), F.col("produced")).otherwise(0)
     used = F.coalesce(F.col("energy_delta") > 0, F.lit(False)) & (F.col("meter_from") == F.col("obs_at")) & ~F.col("long_gap")
     kwh = F.when(used, F.col("energy_delta")).otherwise(0.0)
-    return steps.select("seq", "company_id", "machine_id", "obs_at", hour_start(F.col("obs_at")).alias("hour_start"),
-                        parts.cast("long").alias("produced"), kwh.alias("energy")
-                        ).where((F.col("produced") > 0) | (F.col("energy") > 0))
+    rises = steps.select("seq", "company_id", "machine_id", "obs_at", parts.cast("long").alias("produced"), kwh.alias("energy")
+                         ).where((F.col("produced") > 0) | (F.col("energy") > 0))
+    return split_interval(rises, calendar_segments(calendar), "obs_at", "obs_at", p.zone_offset_s).drop("slice_from", "seconds", "is_last")
 
 
 def processing_counters(steps: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millwright.functions.clock import hour_start, second_of_day, time_to_seconds
+from millwright.functions.clock import second_of_day, time_to_seconds
 from millwright.params import DEFAULTS
 
 DAY = 86_400
@@ -43,39 +43,40 @@ def with_shift_at(df: DataFrame, calendar: DataFrame, at: str, name: str = "shif
     return joined.withColumn(name, shift_at(F.col("shifts"), F.col(at))).drop("shifts")
 
 
-def cut_points(start: Column, end: Column, shifts: Column, offset: int = DEFAULTS.zone_offset_s) -> Column:
-    """Both ends, every local hour and every shift boundary strictly between them."""
-    first_hour = hour_start(start, offset) + 3600
-    hours = F.when(first_hour < end, F.sequence(first_hour, end - 1, F.lit(3600).cast("long"))).otherwise(
-        F.array().cast("array<bigint>"))
-    midnight = start - second_of_day(start, offset)
-    days = F.sequence(midnight, end, F.lit(DAY).cast("long"))
-    bounds = F.flatten(F.transform(days, lambda d: F.flatten(F.transform(
-        F.coalesce(shifts, F.array()), lambda s: F.array(d + s["start_s"], d + s["end_s"])))))
-    inner = F.filter(bounds, lambda b: (b > start) & (b < end))
-    return F.array_sort(F.array_distinct(F.concat(F.array(start, end), hours, inner)))
+def calendar_segments(calendar: DataFrame) -> DataFrame:
+    """The local day of every company cut at the hours and at its shifts' starts and ends, each piece with its shift.
 
-
-def split_interval(df: DataFrame, start: str, end: str, offset: int = DEFAULTS.zone_offset_s) -> DataFrame:
+    Rows: company_id, hour (0 to 23), seg_from, seg_to (seconds of the day), shift_id; pieces outside every shift are left
+    out. A cut itself is a row too (seg_from = seg_to): both ends of a shift belong to it, so an instant on a bound can have
+    another shift than the pieces beside it. Some 30 rows a company.
+    """
+    hours = calendar.select("company_id").distinct().select("company_id", F.explode(F.sequence(F.lit(0), F.lit(DAY - 3600), F.lit(3600))).alias("cut"))
+    bounds = calendar.select("company_id", F.explode(F.array(F.col("start_s").cast("int"), F.col("end_s").cast("int"))).alias("cut")).where(F.col("cut").between(0, DAY - 1))
+    cuts = hours.unionByName(bounds).distinct()
+    following = F.lead("cut", 1, DAY).over(Window.partitionBy("company_id").orderBy("cut"))
+    pieces = cuts.select("company_id", F.col("cut").alias("seg_from"), following.alias("seg_to")).unionByName(
+        cuts.select("company_id", F.col("cut").alias("seg_from"), F.col("cut").alias("seg_to")))
+    t, a, b = (F.col("seg_from") + F.col("seg_to")) / 2, F.col("start_s"), F.col("end_s")
+    covers = F.when(a <= b, (t >= a) & (t <= b)).otherwise((t >= a) | (t <= b))
+    return (pieces.join(calendar, "company_id").where(covers).groupBy("company_id", "seg_from", "seg_to").agg(F.min("shift_id").alias("shift_id"))
+            .withColumn("hour", F.expr("seg_from div 3600").cast("int")))
+
+
+def split_interval(df: DataFrame, segments: DataFrame, start: str, end: str, offset: int = DEFAULTS.zone_offset_s) -> DataFrame:
     """One row per slice of [start, end) inside a shift: slice_from, seconds, shift_id, hour_start, is_last.
 
-    ``df`` carries the company's ``shifts`` array. The shift of a slice is read
-    at its midpoint; slices outside every shift are left out. An interval of no
-    length is one slice of 0 seconds, its shift read at that instant.
+    An interval becomes one row for every local hour it touches, and meets the company's segments of that hour: a range
+    join by equality, spread over company and hour. Slices outside every shift find no segment and are left out. An
+    interval of no length is one slice of 0 seconds, its shift that of the instant.
     """
     a, b = F.col(start), F.col(end)
-    points = F.when(a < b, cut_points(a, b, F.col("shifts"), offset)).otherwise(F.array(a, b))
-    cut = df.where(a <= b).withColumn("_p", points)
-    pieces = F.transform(F.sequence(F.lit(0), F.size("_p") - 2), lambda i: F.struct(
-        F.get(F.col("_p"), i).alias("slice_from"),
-        (F.get(F.col("_p"), i + 1) - F.get(F.col("_p"), i)).alias("seconds"),
-        (i == F.size("_p") - 2).alias("is_last")))
-    rows = cut.withColumn("_s", F.explode(pieces)).drop("_p")
-    middle = F.col("_s.slice_from") + F.col("_s.seconds") / 2
-    return (
-        rows.withColumn("shift_id", shift_at(F.col("shifts"), middle, offset))
-        .where(F.col("shift_id").isNotNull())
-        .select(*[c for c in df.columns if c != "shifts"], F.col("_s.slice_from").alias("slice_from"),
-                F.col("_s.seconds").alias("seconds"), F.col("_s.is_last").alias("is_last"), "shift_id",
-                hour_start(F.col("_s.slice_from"), offset).alias("hour_start"))
-    )
+    local = lambda t: F.call_function("div", t + offset, F.lit(3600).cast("long"))
+    hours = df.where(a <= b).withColumn("_h", F.explode(F.sequence(local(a), local(F.greatest(a, b - 1)))))
+    dealt = hours.withColumn("hour", (F.col("_h") % 24).cast("int")).withColumn("_day", F.expr("_h div 24") * DAY - offset)
+    from_at, to_at = F.col("_day") + F.col("seg_from"), F.col("_day") + F.col("seg_to")
+    whole = F.col("seg_from") < F.col("seg_to")
+    meets = F.when(a < b, whole & (from_at < b) & (to_at > a)).otherwise((~whole & (from_at == a)) | ((from_at < a) & (a < to_at)))
+    placed = dealt.join(segments, ["company_id", "hour"]).where(meets)
+    slice_from = F.greatest(a, from_at)
+    return placed.select(*df.columns, slice_from.alias("slice_from"), (F.least(b, to_at) - slice_from).alias("seconds"),
+                         (to_at >= b).alias("is_last"), "shift_id", (F.col("_h") * 3600 - offset).alias("hour_start"))

@@ -213,8 +213,7 @@ slices AS (SELECT seq, company_id, machine_id, CAST(shift_id AS BIGINT) AS shift
     (c + 19800) // 3600 * 3600 - 19800 AS hour_start FROM sh WHERE timed AND shift_id IS NOT NULL)""")
 def interval_split(spark, d):
     spans = ops.state_intervals(steps_of(spark, d), MAPPED).select("seq", "company_id", "machine_id", "start_at", "end_at")
-    by_company = shift_ops.calendar_by_company(CAL(shifts(spark, d)))
-    return shift_ops.split_interval(spans.join(by_company, "company_id", "left"), "start_at", "end_at").select(
+    return shift_ops.split_interval(spans, shift_ops.calendar_segments(CAL(shifts(spark, d))), "start_at", "end_at").select(
         "seq", "machine_id", "shift_id", "hour_start", "slice_from", "seconds", "is_last")
 
 

@@ -11,7 +11,7 @@ from millwright.plans.alarms import AL, PERIODS_SQL, stored
 from millwright.operators.alarms import open_battery_codes
 from millwright.plans.catalog import query
 from millwright.plans.mapping import FLEET, MAPPED, READINGS_SQL, REGISTRY_SQL, fleet, readings, registry, shifts, table
-from millwright.plans.production import BOOKINGS_SQL, GAPS_SQL, STEPS, steps_of
+from millwright.plans.production import BOOKINGS_SQL, GAPS_SQL, SHIFT_AT_SQL, STEPS, steps_of
 
 T = f"WITH {READINGS_SQL}"
 FIELDS = ("v_ll_avg", "kw_total", "kwh_total", "aux_interrupts")
@@ -231,14 +231,14 @@ def hourly_upsert(spark, d):
     return production.merge_hourly(first, second).withColumn("energy_kwh", F.round("energy_kwh", 6))
 
 
-@query("same_second_quantity", f"""{FLEET.replace('t.recv_s AS obs_at', 't.recv_s // 86400 * 86400 AS obs_at')}, {STEPS[len(FLEET) + 2:]} SELECT seq, machine_id, obs_at, (obs_at + 19800) // 3600 * 3600 - 19800 AS hour_start, produced, energy FROM (
-  SELECT seq, machine_id, obs_at, CASE WHEN prev_at IS NOT NULL AND gap_s = 0 THEN produced ELSE 0 END AS produced,
-    CASE WHEN used AND meter_from = obs_at AND NOT long_gap THEN energy_delta ELSE 0.0E0 END AS energy FROM g5) WHERE produced > 0 OR energy > 0""")
+@query("same_second_quantity", f"""{FLEET.replace('t.recv_s AS obs_at', 't.recv_s // 86400 * 86400 AS obs_at')}, {STEPS[len(FLEET) + 2:]} SELECT seq, machine_id, obs_at, (obs_at + 19800) // 3600 * 3600 - 19800 AS hour_start, produced, energy, shift_id FROM (
+  SELECT seq, machine_id, obs_at, CAST({SHIFT_AT_SQL.format(c='g5.company_id', t='g5.obs_at')} AS BIGINT) AS shift_id, CASE WHEN prev_at IS NOT NULL AND gap_s = 0 THEN produced ELSE 0 END AS produced,
+    CASE WHEN used AND meter_from = obs_at AND NOT long_gap THEN energy_delta ELSE 0.0E0 END AS energy FROM g5) WHERE (produced > 0 OR energy > 0) AND shift_id IS NOT NULL""")
 def same_second_quantity(spark, d):
     """Device times cut to the day, so that consecutive readings share a second."""
     rows = fleet(spark, d).withColumn("obs_at", F.expr("recv_s div 86400 * 86400")).select(
         "seq", "machine_id", "company_id", "obs_at", "machine_status", "mode", F.col("parts_count").cast("long").alias("parts_count"), "energy")
-    return production.same_second(production.production_steps(rows, MAPPED)).drop("company_id")
+    return production.same_second(production.production_steps(rows, MAPPED), shift_calendar(shifts(spark, d)), MAPPED).drop("company_id")
 
 
 IDENTITY_SQL = "idn AS (SELECT seq, machine_id, recv_s, CASE WHEN k % 3 > 0 THEN 's' || k // 25 END AS cnc_series, CASE WHEN k % 7 = 0 THEN 1 + k % 2 END AS focas FROM t)"
