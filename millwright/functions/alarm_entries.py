@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millwright.functions.numbers import lenient_number, truncated
-from millwright.functions.payload import bind, block_of, trimmed
+from millwright.functions.payload import bind, block_of, built_once, trimmed
 
 # fixed values: controller type number -> prefix shown on its screen; prefixes that stop a machine
 PREFIXES = {0: "SW", 1: "PW", 2: "IO", 3: "PS", 4: "OT", 5: "OH", 6: "SV", 7: "SR", 8: "MC", 9: "SP", 10: "DS",
@@ -25,6 +25,7 @@ def controller_list(fields: Column) -> Column:
     return F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<variant>"))
 
 
+@built_once
 def is_alarming(fields: Column) -> Column:
     block = block_of(fields["pmc_alarm"])
     listed = F.coalesce(F.size(controller_list(fields)) > 0, F.lit(False))
@@ -84,6 +85,7 @@ def parse_entry(entry: Column) -> Column:
         .when(~F.startswith(kind, F.lit("ARRAY")) & (bare != "") & (kind != "VOID"), record(bare, none, none, none)))
 
 
+@built_once
 def active_alarms(fields: Column, alarming: Column) -> Column:
     """Every active alarm, the payload's own fields first; repeated keys keep their first entry.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millwright.functions.numbers import INT4
-from millwright.functions.payload import bind, trimmed, variants_of
+from millwright.functions.payload import bind, built_once, trimmed, variants_of
 from millwright.params import DEFAULTS
 
 # fixed values: diagnostic bits, code patterns and texts
@@ -75,6 +75,7 @@ def axis_state(v: Column) -> Column:
     return bind(told, decide)
 
 
+@built_once
 def encoder_batteries(fields: Column, p=DEFAULTS) -> Column:
     """Axis -> state for the first valid axes; null without any."""
     entries = F.transform(F.map_entries(variants_of(fields["acc_battery"])), lambda e: F.struct(
@@ -89,6 +90,7 @@ def encoder_batteries(fields: Column, p=DEFAULTS) -> Column:
     return bind(bind(valid, first_spellings), lambda es: F.when(F.size(es) > 0, F.map_from_entries(es)))
 
 
+@built_once
 def controller_warning(fields: Column) -> Column:
     text = fields["cnc_battery_warning"]
     v = F.when(F.startswith(text, F.lit("{")), F.try_parse_json(text))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millwright.functions.numbers import (INT4, energy_quantity, power_quantity, strict_number, truncated)
-from millwright.functions.payload import bind, block_of, canonical
+from millwright.functions.payload import bind, block_of, built_once, canonical
 
 # fixed values: stored column <- lower-cased key of the meter block
 FIELDS = (
@@ -59,10 +59,12 @@ def _named_block(top: Column, first: str, second: str) -> Column:
     return canonical(F.coalesce(block_of(top[first]), block_of(top[second])))
 
 
+@built_once
 def power_block(top: Column) -> Column:
     return _named_block(top, "powerdata", "power_data")
 
 
+@built_once
 def energy_block(top: Column) -> Column:
     return _named_block(top, "energydata", "energy_data")
 
@@ -102,6 +104,7 @@ def _candidates(top: Column, power: Column, energy: Column) -> dict[str, Column]
     }
 
 
+@built_once
 def electrical_signals(top: Column, power: Column, energy: Column) -> dict[str, Column]:
     """energy, voltage (line to line only), current and power: first valid spelling wins."""
     c = _candidates(top, power, energy)
@@ -138,6 +141,7 @@ def _multi(top: Column, power: Column, energy: Column) -> dict[str, Column]:
     return {n: v if n == "kwh_total" else bind(v, _float_range) for n, v in c.items()}
 
 
+@built_once
 def meter_columns(top: Column, power: Column, energy: Column) -> dict[str, Column]:
     """Arrays of readings per group of columns, and the four columns with several spellings.
 
@@ -148,6 +152,7 @@ def meter_columns(top: Column, power: Column, energy: Column) -> dict[str, Colum
     return {**out, **{f"_meter_{n}": v for n, v in _multi(top, power, energy).items()}}
 
 
+@built_once
 def meter_fields() -> dict[str, Column]:
     """The 52 columns in table order, from the columns of ``meter_columns``."""
     found = {n: F.col(f"_meter_{n}") for n in ("kwh_total", "v_ll_avg", "i_avg", "kw_total")}
@@ -156,6 +161,7 @@ def meter_fields() -> dict[str, Column]:
     return {n: found[n].cast(spark_type(n)) for n in NAMES}
 
 
+@built_once
 def any_readable(top: Column, power: Column, energy: Column) -> Column:
     """At least one of the 52 columns can be read."""
 
@@ -169,6 +175,7 @@ def any_readable(top: Column, power: Column, energy: Column) -> Column:
     return result
 
 
+@built_once
 def has_electrical_keys_only(top: Column) -> Column:
     allowed = ELECTRICAL_KEYS + TRANSPORT_KEYS
     return F.forall(F.map_keys(top), lambda k: k.isin(*allowed))

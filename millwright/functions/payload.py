@@ -6,6 +6,8 @@ as their JSON text, in the order sent. Everything is a built-in expression.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,26 @@ BLANKS = " \t\n\r\f\u000b ﻿  "
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
+_BUILT: dict[tuple, object] = {}
+
+
+def built_once(build):
+    """Keeps the columns a function builds, by the text of the columns it is given.
+
+    A reader of a packet is thousands of calls to the JVM, and an unresolved column means the same in every plan, so a
+    session builds each reader once and not once for every micro-batch. Only for functions of unresolved columns.
+    """
+    @wraps(build)
+    def built(*args, **named):
+        said = lambda v: str(v) if isinstance(v, Column) else v
+        key = (build.__module__, build.__name__, tuple(map(said, args)), tuple((k, said(v)) for k, v in sorted(named.items())))
+        if key not in _BUILT:
+            _BUILT[key] = build(*args, **named)
+        return _BUILT[key]
+
+    return built
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
@@ -24,6 +46,7 @@ def _wrapped(payload: Column, value_type: str) -> Column:
     return bind(rows, lambda r: F.when(F.size(r) == 1, F.get(r, F.lit(0))))
 
 
+@built_once
 def object_of(payload: Column) -> Column:
     """Top-level keys of a JSON object; null for anything else."""
     return _wrapped(payload, "string")
@@ -65,6 +88,7 @@ def last_wins(entries: Column) -> Column:
         lambda back: F.filter(es, lambda e, i: F.array_position(back, e["key"]) == F.size(back) - i)))
 
 
+@built_once
 def canonical(fields: Column) -> Column:
     """Trimmed lower-case keys; the exactly lower-case spelling wins, else the first; blank keys dropped."""
 
@@ -84,6 +108,7 @@ def canonical(fields: Column) -> Column:
         F.exists(F.map_keys(m), drifts) | repeats(F.map_keys(m)), F.map_from_entries(renamed(m))).otherwise(m))
 
 
+@built_once
 def depth_ok(payload: Column, limit: int) -> Column:
     """No value lies deeper than ``limit`` (the object itself is depth 0).
 
@@ -101,6 +126,7 @@ def depth_ok(payload: Column, limit: int) -> Column:
     return F.when(opened <= limit, True).otherwise(marks.rlike("^v*$"))
 
 
+@built_once
 def fingerprint(payload: Column, missing_time: Column | None = None) -> Column:
     """SHA-256 over the canonical object with keys sorted at every level.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millwright.functions.numbers import INT2, INT4, INT8, lenient_in_range, lenient_number, temperature, whole_value
-from millwright.functions.payload import bind, block_of, last_wins, trimmed
+from millwright.functions.payload import bind, block_of, built_once, last_wins, trimmed
 from millwright.params import DEFAULTS
 
 # fixed values: output column prefix <- accepted keys of the per-axis map, and whether zero means "no sensor"
@@ -32,11 +32,13 @@ def axis_values(text: Column, as_temperature: bool) -> Column:
         lambda e: e["key"] != ""))))
 
 
+@built_once
 def axis_maps(fields: Column) -> dict[str, Column]:
     """One map per signal; stage these before splitting them."""
     return {f"_{name}": axis_values(first_of(fields, *keys), temp) for name, keys, temp in AXIS_MAPS}
 
 
+@built_once
 def axis_columns() -> dict[str, Column]:
     """x, y, z columns per signal and ``extra_axes``: axis -> its signals."""
     out = {f"{name}_{a.lower()}": F.col(f"_{name}")[a] for name, _, _ in AXIS_MAPS for a in MAIN_AXES}
@@ -92,6 +94,7 @@ def battery_flags(text: Column) -> Column:
     return bind(kept, lambda es: F.when(F.size(es) > 0, F.map_from_entries(last_wins(es))))
 
 
+@built_once
 def condition_columns(f: Column) -> dict[str, Column]:
     """Scalar condition columns and the two state maps."""
     return {
@@ -106,6 +109,7 @@ def condition_columns(f: Column) -> dict[str, Column]:
     }
 
 
+@built_once
 def process_columns(f: Column) -> dict[str, Column]:
     """Process values under their first present spelling; integers kept only inside their column's range."""
     number = lenient_number

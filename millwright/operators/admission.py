@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millwright.functions import meter
 from millwright.functions.numbers import INT8, plain_number, strict_count
 from millwright.functions.payload import canonical, depth_ok, fingerprint, object_of, staged, trimmed
+from millwright.operators.alarms import alarm_state
 from millwright.operators.registry import active_machines
 from millwright.operators.scan import last, scan, top
 from millwright.params import DEFAULTS, Params
@@ -150,21 +151,28 @@ def meter_order(rows: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return four.withColumn("used", used).drop("_candidate", "_base")
 
 
-def admitted(messages: DataFrame, machines: DataFrame, p: Params = DEFAULTS, with_readings: bool = False, with_values: bool = False) -> DataFrame:
+def admitted(messages: DataFrame, machines: DataFrame, p: Params = DEFAULTS, with_readings: bool = False, with_values: bool = False,
+             with_alarms: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Packets as narrow rows, parsed once: what the outcome and all later steps of a machine need.
 
     ``has_reading`` (any meter column can be read) is worked out for snapshots only ``with_readings``; a meter-only
-    packet always has one. ``with_values`` adds the state, mode and count of snapshots. The payload goes no further.
+    packet always has one. ``with_values`` adds the state, mode and count of snapshots, ``with_alarms`` their active
+    alarms. The payload goes no further unless it is to ``keep``.
     """
     parsed = parse(messages, p)
+    if with_alarms:
+        parsed = alarm_state(parsed)
     blocks = (F.col("fields"), F.col("power"), F.col("energy_data"))
     f, alone = F.col("fields"), F.col("is_energy")
     own = F.coalesce(meter.any_readable(*blocks), F.lit(False)) if with_readings else F.lit(False)
     values = {"machine_status": F.when(~alone, f["machine_status"]), "mode": F.when(~alone, F.substring(f["mode"], 1, 64)),
               "parts_count": F.when(~alone, strict_count(f["parts_count"]))} if with_values else {}
+    if with_alarms:
+        parsed = parsed.withColumnRenamed("alarms", "_alarms")
+        values |= {"alarms": F.when(~alone, F.col("_alarms"))}
     slim = staged(parsed, energy=meter.electrical_signals(*blocks)["energy"], has_reading=alone | own, **values).select(
         "seq", "api_key", "recv_ms", "envelope_ok", "disconnected", "is_energy",
-        F.when(F.col("envelope_ok"), F.col("time_s").cast("long")).alias("obs_at"), "energy", "has_reading", *values,
+        F.when(F.col("envelope_ok"), F.col("time_s").cast("long")).alias("obs_at"), "energy", "has_reading", *values, *keep,
         F.when(F.col("envelope_ok"), fingerprint(F.col("payload"), F.col("time_s").cast("long"))).alias("fingerprint"))
     known = active_machines(machines).select("api_key", "machine_id", "company_id")
     return slim.join(known, "api_key", "left")

@@ -7,11 +7,13 @@ reading; only changes are exploded, and all that follows runs on those events.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millwright.functions.alarm_text import severity_class, stored_severity
+from millwright.functions.alarm_entries import active_alarms, is_alarming
+from millwright.functions.alarm_text import alarm_fields, severity_class, stored_severity
 from millwright.functions.battery import is_battery_code
+from millwright.functions.payload import built_once, staged
 from millwright.operators.scan import last, prev, scan, top
 from millwright.params import DEFAULTS, Params
 from millwright.session import materialise
@@ -19,6 +21,22 @@ from millwright.session import materialise
 KEY = ["company_id", "machine_id", "alarm_key"]
 
 
+def alarm_state(parsed: DataFrame) -> DataFrame:
+    """Adds ``alarms``, the stored key and severity of every active alarm of a parsed packet (``fields``), in its order."""
+    f = F.col("fields")
+    listed = staged(staged(parsed, _alarming=is_alarming(f)), _listed=active_alarms(f, F.col("_alarming")))
+    return staged(listed, alarms=_stored(F.col("_listed"))).drop("_alarming", "_listed")
+
+
+@built_once
+def _stored(listed: Column) -> Column:
+    def pair(a):
+        fields = alarm_fields(a["alarm_type"], a["alarm_code"], a["alarm_message"], a["alarm_severity"])
+        return F.struct(fields["alarm_key"].alias("alarm_key"), fields["severity"].alias("severity"))
+
+    return F.transform(listed, pair)
+
+
 def alarm_diff(readings: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Adds opens, closes, updates and keep of every reading against the one before it.
 
@@ -27,31 +45,35 @@ def alarm_diff(readings: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     the stored periods. Where a column ``preserve_battery`` holds, battery codes
     close only if ``battery_clears`` names them.
     """
-    s = scan(readings, ["machine_id"], before={"_before": prev(F.col("alarms"))}, width=p.chunk_seqs)
+    return diff_columns(scan(readings, ["machine_id"], before={"_before": prev(F.col("alarms"))}, width=p.chunk_seqs)).drop("_before")
+
+
+def diff_columns(s: DataFrame) -> DataFrame:
+    """The same from the state before the reading in ``_before``; row-local, so batch and stream share it."""
     none = F.array().cast("array<string>")
     names = lambda a: F.coalesce(F.transform(a, lambda x: x["alarm_key"]), none)
     now, old = names(F.col("alarms")), names(F.col("_before"))
     changed = F.filter(F.col("alarms"), lambda x: F.exists(
         F.col("_before"), lambda y: (y["alarm_key"] == x["alarm_key"]) & (stored_severity(y["severity"]) != stored_severity(x["severity"]))))
     closes = F.array_except(old, now)
-    if {"preserve_battery", "battery_clears"} <= set(readings.columns):
+    if {"preserve_battery", "battery_clears"} <= set(s.columns):
         clear = F.coalesce("battery_clears", none)
         closes = F.filter(closes, lambda k: ~F.coalesce("preserve_battery", F.lit(False)) | ~is_battery_code(k) | F.array_contains(clear, k))
     return (
         s.withColumn("opens", F.array_except(now, old)).withColumn("closes", closes)
-        .withColumn("updates", F.coalesce(names(changed), none)).withColumn("keep", F.when(F.col("_before").isNull(), now)).drop("_before")
+        .withColumn("updates", F.coalesce(names(changed), none)).withColumn("keep", F.when(F.col("_before").isNull(), now))
     )
 
 
-def alarm_events(diff: DataFrame) -> DataFrame:
-    """One row per opened, cleared or re-graded alarm key."""
+def alarm_events(diff: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per opened, cleared or re-graded alarm key, with the columns to ``keep``."""
     severity = lambda k: F.get(F.filter(F.col("alarms"), lambda a: a["alarm_key"] == k), F.lit(0))["severity"]
     rows = lambda column, kind: F.transform(F.col(column), lambda k: F.struct(
         k.alias("alarm_key"), F.lit(kind).alias("kind"), severity(k).alias("severity")))
     every = F.concat(rows("closes", "close"), rows("opens", "open"), rows("updates", "severity"))
     return diff.where(F.size("opens") + F.size("closes") + F.size("updates") > 0).select(
-        "company_id", "machine_id", "seq", "obs_at", "recv_ms", F.explode(every).alias("_e")
-    ).select("company_id", "machine_id", "seq", "obs_at", "recv_ms", "_e.*")
+        "company_id", "machine_id", "seq", "obs_at", "recv_ms", *keep, F.explode(every).alias("_e")
+    ).select("company_id", "machine_id", "seq", "obs_at", "recv_ms", *keep, "_e.*")
 
 
 def alarm_timeline(events: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -124,12 +146,12 @@ def close_match(requests: DataFrame, periods: DataFrame) -> DataFrame:
     """Open periods a close request ends.
 
     A request names keys to close (``closes``), or, after a restart without a
-    baseline, the keys to keep (``keep``) and the batteries known clear
-    (``battery_clears``): everything else that is open closes, except battery
-    codes not known clear. It must not be older than the period's start or its
+    baseline, the keys to keep (``keep``): everything else that is open closes. Where ``preserve_battery`` holds (a column
+    that may be missing), battery codes close only if they are among those known clear (``battery_clears``). It must not be older than the period's start or its
     last severity observation.
     """
-    r = requests.select("company_id", "machine_id", "obs_at", "recv_ms", "closes", "keep", "battery_clears")
+    preserve = F.coalesce("preserve_battery", F.lit(False)) if "preserve_battery" in requests.columns else F.lit(False)
+    r = requests.select("company_id", "machine_id", "obs_at", "recv_ms", "closes", "keep", "battery_clears", preserve.alias("_preserve"))
     key, seen, at = F.col("alarm_key"), F.col("observed_at"), F.col("obs_at")
     in_time = (F.col("started_at") <= at) & (F.coalesce(seen, F.col("started_at")) <= at) & (
         seen.isNull() | (seen != at) | (F.coalesce(F.col("observed_recv_ms"), seen * 1000) <= F.col("recv_ms")))
@@ -137,7 +159,7 @@ def close_match(requests: DataFrame, periods: DataFrame) -> DataFrame:
     # named keys meet their period directly; a keep list concerns every open key of its machine
     named = still_open.join(r.where(F.col("keep").isNull()).select(
         "company_id", "machine_id", "obs_at", "recv_ms", F.explode("closes").alias("alarm_key")), KEY).where(in_time)
-    held = is_battery_code(key) & ~F.array_contains("battery_clears", key)
+    held = F.col("_preserve") & is_battery_code(key) & ~F.coalesce(F.array_contains("battery_clears", key), F.lit(False))
     swept = still_open.join(r.where(F.col("keep").isNotNull()), ["company_id", "machine_id"]).where(
         in_time & ~F.array_contains("keep", key) & ~held)
     cols = [*KEY, "started_at", "obs_at", "recv_ms"]

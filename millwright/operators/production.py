@@ -102,32 +102,45 @@ def energy_steps(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 def production_steps(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Counter, meter and previous-state columns of every reading, in one scan."""
-    at = F.col("obs_at")
     alone = F.coalesce("standalone", F.lit(False)) if "standalone" in df.columns else F.lit(False)
     c = F.when(~alone, F.col("parts_count"))
-    real = F.when(F.col("energy") > 0, F.struct(F.col("energy").alias("meter"), at.alias("obs_at")))
+    real = F.when(F.col("energy") > 0, F.struct(F.col("energy").alias("meter"), F.col("obs_at").alias("obs_at")))
     s = scan(df, ["machine_id"], before={
         "_prev": last(F.when(~alone, F.struct("obs_at", "machine_status", "mode"))),
         "baseline_before": peak(c, is_counter_restart(c, p)),
         "_meter": last(real),
     }, width=p.chunk_seqs)
-    b, gap = F.col("baseline_before"), F.col("gap_s")
-    fresh = p.freshness_s
-    steps = (
+    carried = (
         s.withColumn("prev_at", F.when(~alone, F.col("_prev.obs_at")))
         .withColumn("prev_status", F.col("_prev.machine_status"))
         .withColumn("prev_mode", F.col("_prev.mode"))
-        .withColumn("gap_s", F.coalesce(F.greatest(at - F.col("prev_at"), F.lit(0)), F.lit(0)).cast("long"))
+        .withColumn("meter_before", F.col("_meter.meter")).withColumn("meter_before_at", F.col("_meter.obs_at"))
+        .drop("_prev", "_meter")
+    )
+    return step_columns(carried, p).drop("meter_before", "meter_before_at")
+
+
+def step_columns(carried: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """What a reading books, from its own columns and what the machine was like before it.
+
+    Before it: prev_at (null for a packet of the meter alone), prev_status, prev_mode, baseline_before, meter_before,
+    meter_before_at. Row-local, so batch and stream share it.
+    """
+    at = F.col("obs_at")
+    alone = F.coalesce("standalone", F.lit(False)) if "standalone" in carried.columns else F.lit(False)
+    c = F.when(~alone, F.col("parts_count"))
+    b, gap = F.col("baseline_before"), F.col("gap_s")
+    steps = (
+        carried.withColumn("gap_s", F.coalesce(F.greatest(at - F.col("prev_at"), F.lit(0)), F.lit(0)).cast("long"))
         .withColumn("produced", parts_delta(b, c, gap, p))
         .withColumn("regressed", regressed(b, c, p))
-        .withColumn("energy_delta", energy_delta(F.col("_meter.meter"), F.col("_meter.obs_at"), F.col("energy"), at, p))
-        .withColumn("meter_from", F.coalesce(F.col("_meter.obs_at"), at))
+        .withColumn("energy_delta", energy_delta(F.col("meter_before"), F.col("meter_before_at"), F.col("energy"), at, p))
+        .withColumn("meter_from", F.coalesce(F.col("meter_before_at"), at))
     )
     used = F.coalesce(F.col("energy_delta") > 0, F.lit(False))
     return (
-        steps.withColumn("long_gap", gap > fresh)
-        .withColumn("long_meter_gap", used & (at - F.col("meter_from") > fresh))
-        .drop("_prev", "_meter")
+        steps.withColumn("long_gap", gap > p.freshness_s)
+        .withColumn("long_meter_gap", used & (at - F.col("meter_from") > p.freshness_s))
     )
 
 

@@ -41,6 +41,7 @@ class Params:
     range_window_s: int = 600
     identity_every_s: int = 3_600
     dedup_ttl_s: int = 300
+    keep_copies_s: int = 86_400
     # size limits
     max_battery_codes: int = 65
     max_entries: int = 16

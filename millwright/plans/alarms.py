@@ -30,12 +30,7 @@ def timeline(spark, d):
     return ops.alarm_timeline(materialise(ops.alarm_events(ops.alarm_diff(alarm_readings(spark, d), MAPPED))), MAPPED)
 
 
-AL_SQL = """al0 AS (SELECT company_id, machine_id, seq, obs_at, recv_ms, k, event_type,
-    row_number() OVER (PARTITION BY machine_id ORDER BY seq) AS rn FROM f),
-al AS (SELECT *, 'EX' || (1000 + k % 3) AS alarm_key, CASE WHEN k % 2 = 0 THEN 'LOW' ELSE 'FATAL' END AS severity FROM al0
-    WHERE event_type = 'error' OR k % 5 = 0
-  UNION ALL SELECT *, 'SV0' || (400 + k % 2), 'CRITICAL' FROM al0 WHERE event_type = 'error'),
-ev AS (
+EVENTS_SQL = """ev AS (
   SELECT n.company_id, n.machine_id, n.seq, n.obs_at, n.recv_ms, n.alarm_key, CASE WHEN o.seq IS NULL THEN 'open' ELSE 'severity' END AS kind,
     n.severity FROM al n LEFT JOIN al o ON o.machine_id = n.machine_id AND o.rn = n.rn - 1 AND o.alarm_key = n.alarm_key
     WHERE o.seq IS NULL OR o.severity <> n.severity
@@ -50,6 +45,20 @@ tl AS (SELECT *, max(CASE WHEN kind = 'open' THEN seq END) OVER u AS started_seq
   FROM ev WINDOW u AS (PARTITION BY machine_id, alarm_key ORDER BY seq),
     d AS (PARTITION BY machine_id, alarm_key ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING),
     b AS (PARTITION BY machine_id, alarm_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+AL_SQL = f"""al0 AS (SELECT company_id, machine_id, seq, obs_at, recv_ms, k, event_type,
+    row_number() OVER (PARTITION BY machine_id ORDER BY seq) AS rn FROM f),
+al AS (SELECT *, 'EX' || (1000 + k % 3) AS alarm_key, CASE WHEN k % 2 = 0 THEN 'LOW' ELSE 'FATAL' END AS severity FROM al0
+    WHERE event_type = 'error' OR k % 5 = 0
+  UNION ALL SELECT *, 'SV0' || (400 + k % 2), 'CRITICAL' FROM al0 WHERE event_type = 'error'),
+{EVENTS_SQL}"""
+# the same from packets: accepted snapshots and the alarms their payloads hold
+AL_PACKETS_SQL = f"""al0 AS (SELECT company_id, machine_id, seq, obs_at, recv_ms, k, event_type,
+    row_number() OVER (PARTITION BY machine_id ORDER BY seq) AS rn FROM oc WHERE outcome = 'accepted' AND NOT standalone),
+al AS (SELECT *, 'EX' || (1000 + k % 3) AS alarm_key, CASE WHEN k % 10 = 0 THEN 'CRITICAL' ELSE 'NORMAL' END AS severity FROM al0 WHERE event_type = 'error'
+  UNION ALL SELECT *, 'SV0' || (400 + k % 2), 'CRITICAL' FROM al0 WHERE event_type = 'error'
+  UNION ALL SELECT *, CAST(k % 4 AS VARCHAR), 'NORMAL' FROM al0 WHERE event_type = 'error'
+  UNION ALL SELECT *, 'UNSPECIFIED', 'NORMAL' FROM al0 WHERE event_type <> 'error' AND k % 9 = 0),
+{EVENTS_SQL}"""
 AL = f"{FLEET}, {AL_SQL}"
 CLASS_SQL = ("CASE WHEN upper(trim({0})) IN ('CRITICAL','FATAL','EMERGENCY') THEN 'critical' WHEN upper(trim({0})) IN "
              "('INFO','INFORMATION','INFORMATIONAL','LOW','MESSAGE') THEN 'info' ELSE 'noncritical' END")
@@ -246,7 +255,7 @@ def alarm_open_guard(spark, d):
 
 
 REQUESTS_SQL = """rq AS (SELECT company_id, machine_id, max(obs_at) - CASE WHEN machine_id % 4 = 0 THEN 86400 ELSE 0 END AS obs_at,
-    max(recv_ms) AS recv_ms, machine_id % 2 = 0 AS is_keep, machine_id % 3 = 0 AS clears FROM f GROUP BY company_id, machine_id)"""
+    max(recv_ms) AS recv_ms, machine_id % 2 = 0 AS is_keep, machine_id % 3 = 0 AS clears, machine_id % 5 > 1 AS preserves FROM f GROUP BY company_id, machine_id)"""
 
 
 def requests(spark, d):
@@ -256,13 +265,14 @@ def requests(spark, d):
     keep = F.col("machine_id") % 2 == 0
     return fleet(spark, d).groupBy("company_id", "machine_id").agg(late.alias("obs_at"), F.max("recv_ms").alias("recv_ms")).select(
         "*", F.when(~keep, words("EX1000", "FANUC_ACC_SV_LOW")).alias("closes"), F.when(keep, words("EX1001")).alias("keep"),
-        F.when(F.col("machine_id") % 3 == 0, words("FANUC_ACC_SV_LOW")).otherwise(words()).alias("battery_clears"))
+        F.when(F.col("machine_id") % 3 == 0, words("FANUC_ACC_SV_LOW")).otherwise(words()).alias("battery_clears"),
+        (F.col("machine_id") % 5 > 1).alias("preserve_battery"))
 
 
 @query("alarm_close_match", f"""{AL}, {PERIODS_SQL}, {REQUESTS_SQL} SELECT DISTINCT pd.machine_id, pd.alarm_key, pd.started_at, rq.obs_at AS ended_at
   FROM pd JOIN rq USING (company_id, machine_id) WHERE ended_at IS NULL AND started_at <= rq.obs_at AND observed_at <= rq.obs_at
     AND (observed_at <> rq.obs_at OR observed_recv_ms <= rq.recv_ms)
-    AND CASE WHEN is_keep THEN alarm_key <> 'EX1001' AND (alarm_key <> 'FANUC_ACC_SV_LOW' OR clears)
+    AND CASE WHEN is_keep THEN alarm_key <> 'EX1001' AND (alarm_key <> 'FANUC_ACC_SV_LOW' OR clears OR NOT preserves)
       ELSE alarm_key IN ('EX1000', 'FANUC_ACC_SV_LOW') END""")
 def alarm_close_match(spark, d):
     return ops.close_match(requests(spark, d), stored(spark, d)).select("machine_id", "alarm_key", "started_at", "ended_at")

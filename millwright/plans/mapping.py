@@ -149,7 +149,16 @@ _PAYLOAD = f"""CASE WHEN seq % 101 = 0 THEN substring({_BODY}, 1, 40) WHEN seq %
   ELSE {_BODY} END"""
 
 
-_LANDED: dict[tuple[str, str], DataFrame] = {}
+def stamp(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """What changes when a table does: its files' number, sizes and times."""
+    out = [spark.sparkContext.applicationId, sf_dir]
+    for name in names:
+        files = table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        out.append(tuple(files.agg(F.count("*"), F.sum("file_size"), F.max("file_modification_time")).first()))
+    return tuple(out)
+
+
+_LANDED: dict[tuple, DataFrame] = {}
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +175,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "explode(CASE WHEN seq % 26 = 0 THEN array(0, 1, 2, 3, 4) WHEN seq % 13 = 0 THEN array(0, 1) ELSE array(0) END) AS copy")
     late = sent.selectExpr("* EXCEPT (recv_ms)", "recv_ms + element_at(array(0, 5000, 205000, 405000, 90000000), copy + 1) AS recv_ms")
     packets = late.selectExpr(f"(recv_ms - {EPOCH_2024}000) * 8 + copy AS seq", "topic", "payload", "recv_ms")
-    landed = (spark.sparkContext.applicationId, sf_dir)
+    landed = stamp(spark, sf_dir, "events")
     if landed not in _LANDED:
         _LANDED[landed] = scratch_table(packets.repartition(spark.sparkContext.defaultParallelism * 2), "packets")
     return _LANDED[landed]

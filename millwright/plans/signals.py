@@ -9,7 +9,7 @@ from millwright.functions.payload import staged
 from millwright.operators import admission, quality
 from millwright.operators.registry import registry_join
 from millwright.operators.telemetry import telemetry_rows
-from millwright.plans.admission import MSG, opened
+from millwright.plans.admission import MSG, OUTCOME_SQL, opened
 from millwright.plans.catalog import query
 from millwright.plans.mapping import MAPPED, READINGS_SQL, messages, readings, registry
 
@@ -173,20 +173,26 @@ def condition_signals(spark, d):
                        axes["encoder_temp_z"].alias("encoder_temp_z"), "sequence_number", "cnc_battery_voltage")
 
 
-@query("telemetry_rows", f"""{MSG} SELECT seq, a.company_id, a.plant_id, machine_id, CASE WHEN event_type IN ('purchase', 'click') THEN 'RUNNING' ELSE 'IDLE' END AS machine_status,
+TELEMETRY_SQL = f"""{MSG}, {OUTCOME_SQL} SELECT seq, a.company_id, a.plant_id, machine_id, CASE WHEN event_type IN ('purchase', 'click') THEN 'RUNNING' ELSE 'IDLE' END AS machine_status,
   event_type = 'error' OR k % 9 = 0 AS alarm, CASE WHEN k % 20 = 7 THEN NULL ELSE k END AS status, CAST(parts_count AS BIGINT) AS parts_count, obs_at AS device_time, mode,
   {KWH_SQL} AS energy, CASE WHEN k % 23 = 0 THEN 415.5E0 ELSE CAST(400 + k % 30 AS DOUBLE) END AS voltage, 1000 + k AS spindle_speed, k AS program_number,
   CASE WHEN controller_type = 'FANUC' THEN ((k % 4) * 8 // 8) > 0 ELSE k % 2 = 0 END AS battery_x, 47 AS columns
-  FROM q JOIN a USING (machine_id) WHERE NOT standalone AND depth_ok AND time_ok""")
-def telemetry(spark, d):
-    p = admission.parse(messages(spark, d)).where("envelope_ok AND NOT is_energy")
-    machines = registry(spark, d).select("api_key", "machine_id", "company_id", "plant_id", "controller_type", "is_active")
-    rows = telemetry_rows(registry_join(p, machines))
+  FROM @rows"""
+
+
+def telemetry_columns(rows):
     return rows.select("seq", "company_id", "plant_id", "machine_id", "machine_status", "alarm", "status", "parts_count", "device_time",
                        "mode", "energy", "voltage", "spindle_speed", "program_number", F.col("apc_battery_status")["X"].alias("battery_x"),
                        F.lit(len(rows.columns) - 1).alias("columns"))
 
 
+@query("telemetry_rows", TELEMETRY_SQL.replace("@rows", "q JOIN a USING (machine_id) WHERE NOT standalone AND depth_ok AND time_ok"))
+def telemetry(spark, d):
+    p = admission.parse(messages(spark, d)).where("envelope_ok AND NOT is_energy")
+    machines = registry(spark, d).select("api_key", "machine_id", "company_id", "plant_id", "controller_type", "is_active")
+    return telemetry_columns(telemetry_rows(registry_join(p, machines)))
+
+
 @query("range_guard", f"""{T} SELECT machine_id, c AS "column", recv_ms // 600000 * 600 AS window_start, count(*) AS violations, min_by(v, seq) AS first_value FROM (
     SELECT seq, machine_id, recv_ms, 'status' AS c, k * 1000.0E0 AS v FROM t WHERE k * 1000 > 32767
     UNION ALL SELECT seq, machine_id, recv_ms, 'parts_count', k * 100000000.0E0 FROM t WHERE k * 100000000 > 2147483647) GROUP BY 1, 2, 3""")

@@ -7,117 +7,158 @@ import os
 from pyspark.sql import functions as F
 
 from millwright.functions.payload import fingerprint
-from millwright.operators import admission, alarms
+from millwright.operators import admission
 from millwright.operators.registry import registry_join
 from millwright.operators.shifts import shift_calendar
-from millwright.plans.admission import MSG
-from millwright.plans.alarms import AL, CRITICAL_SQL, alarm_readings
+from millwright.plans.admission import MSG, OUTCOME_SQL
+from millwright.plans.alarms import AL_PACKETS_SQL, CRITICAL_SQL
 from millwright.plans.catalog import query
-from millwright.plans.mapping import FLEET, MAPPED, fleet, messages, registry, shifts
-from millwright.plans.production import BOOKINGS_SQL, GAPS_SQL, STEPS
+from millwright.plans.dataflow import WAY
+from millwright.plans.mapping import FLEET, MAPPED, SENT, SHIFTS_SQL, fleet, messages, registry, shifts, stamp
+from millwright.plans.production import BOOKINGS_SQL, GAPS_SQL, HOURLY_SQL
+from millwright.plans.signals import KWH_SQL, TELEMETRY_SQL, telemetry_columns
 from millwright.session import checkpoint_dir, scratch_table
+from millwright.sources.messages import stream_messages
+from millwright.sources.versions import VersionedTable
 from millwright.streaming import stateful
 from millwright.streaming.dedup import without_copies
-from millwright.streaming.machine import READING, MachineStream
+from millwright.streaming.machine import TABLES, MachineStream, live, machine_states
+from millwright.streaming.ordered import sorted_streams
 from millwright.streaming.stateful import use_rocksdb
 
 PARTS = 3
-_RUNS: dict[tuple[str, str, str], MachineStream] = {}
+_RUNS: dict[tuple, tuple[MachineStream, str]] = {}
 
 
-def stream_readings(spark, d, late: bool):
-    rows = fleet(spark, d).select(
-        "seq", "machine_id", "company_id", F.col("dt_ooo" if late else "obs_at").alias("obs_at"), "recv_ms", "machine_status", "mode",
-        F.col("parts_count").cast("long").alias("parts_count"), "energy")
-    return rows.join(alarm_readings(spark, d).select("seq", "alarms"), "seq")
-
-
-def run(spark, d, late: bool = False) -> MachineStream:
-    """Land the readings in order in a few steps; after each, the stream continues from its checkpoint."""
-    key = (spark.sparkContext.applicationId, d, str(late))
-    if key in _RUNS:
-        return _RUNS[key]
-    root = os.path.join(checkpoint_dir(spark), f"stream-{os.urandom(6).hex()}")
-    job = MachineStream(os.path.join(root, "tables"), lambda s: shift_calendar(shifts(s, d)),
-                        MAPPED.with_(max_stale_ms=1 << 50 if not late else 40_000_000))
-    rows = scratch_table(stream_readings(spark, d, late), "readings")
+def landed_steps(spark, d, root: str):
+    """The packets as NDJSON in a few folders along their numbers; yields after each."""
+    rows = messages(spark, d)
     end = rows.agg(F.max("seq")).first()[0] + 1
     for i in range(PARTS):
-        step = (F.col("seq") >= end * i // PARTS) & (F.col("seq") < end * (i + 1) // PARTS)
-        rows.where(step).write.parquet(os.path.join(root, "in", f"step={i}"))
-        stream = spark.readStream.schema(READING).parquet(os.path.join(root, "in", "*"))
-        job.start(stream, os.path.join(root, "checkpoint")).awaitTermination()
-    _RUNS[key] = job
-    return job
-
-
-@query("stream_hourly", f"""{STEPS}, {BOOKINGS_SQL} SELECT machine_id, shift_id, hour_start, CAST(sum(run) AS BIGINT) AS run_seconds, CAST(sum(idle) AS BIGINT) AS idle_seconds,
-  CAST(sum(manual) AS BIGINT) AS manual_seconds, CAST(sum(produced) AS BIGINT) AS produced_qty, round(sum(energy), 6) AS energy_kwh FROM slices GROUP BY 1, 2, 3""")
+        rows.where((F.col("seq") >= end * i // PARTS) & (F.col("seq") < end * (i + 1) // PARTS)).write.json(os.path.join(root, "in", f"step={i}"))
+        yield i
+
+
+def run(spark, d, changes=(), tables=TABLES) -> tuple[MachineStream, str]:
+    """Land the packets in a few steps; after each, the stream goes on from its checkpoint. ``changes``: what happens to
+    the calendar's folder before each step."""
+    key = (*stamp(spark, d, "events", "customer", "nation"), changes, tables)
+    if key not in _RUNS:
+        use_rocksdb(spark)
+        root = os.path.join(checkpoint_dir(spark), f"stream-{os.urandom(6).hex()}")
+        calendar, checkpoint = VersionedTable(os.path.join(root, "calendar")), os.path.join(root, "checkpoint")
+        calendar.publish(shift_calendar(shifts(spark, d)))
+        job = MachineStream(os.path.join(root, "tables"), registry(spark, d), calendar.pinned, SENT, tables=tables)
+        for i in landed_steps(spark, d, root):
+            if i < len(changes) and changes[i]:
+                changes[i](spark, d, calendar)
+            job.start(stream_messages(spark, os.path.join(root, "in", "*")), checkpoint).awaitTermination()
+        _RUNS[key] = (job, checkpoint)
+    return _RUNS[key]
+
+
+@query("stream_hourly", f"{WAY}, {BOOKINGS_SQL} SELECT * EXCLUDE (company_id) FROM ({HOURLY_SQL.format(where='')})")
 def stream_hourly(spark, d):
-    return run(spark, d).hourly(spark).drop("company_id").withColumn("energy_kwh", F.round("energy_kwh", 6))
+    return run(spark, d)[0].hourly(spark).drop("company_id").withColumn("energy_kwh", F.round("energy_kwh", 6))
 
 
-@query("machine_stream", f"{STEPS}, {GAPS_SQL} SELECT * EXCLUDE (reason) FROM gaps")
+@query("machine_stream", f"{WAY}, {GAPS_SQL} SELECT * EXCLUDE (reason) FROM gaps")
 def machine_stream(spark, d):
-    return run(spark, d).read(spark, "gaps").drop("reason", "batch_id")
+    return run(spark, d)[0].read(spark, "gaps").drop("reason", "batch_id")
 
 
-@query("exactly_once", f"{STEPS}, {GAPS_SQL} SELECT count(*) AS gaps, CAST(sum(unallocated_parts) AS BIGINT) AS parts FROM gaps")
+@query("exactly_once", f"{WAY}, {GAPS_SQL} SELECT count(*) AS gaps, CAST(sum(unallocated_parts) AS BIGINT) AS parts FROM gaps")
 def exactly_once(spark, d):
-    """A micro-batch run a second time, as after a lost commit, adds nothing."""
-    job = run(spark, d)
-    inputs = os.path.join(os.path.dirname(job.root), "in", f"step={PARTS - 1}")
-    job.process(spark.read.schema(READING).parquet(inputs), PARTS - 1)
+    """A micro-batch written a second time, as after a lost commit, adds nothing."""
+    job, _ = run(spark, d)
+    job.write(scratch_table(spark.read.parquet(job.path("steps", PARTS - 1)), "again"), PARTS - 1)
     return job.read(spark, "gaps").agg(F.count("*").alias("gaps"), F.sum("unallocated_parts").alias("parts"))
 
 
-@query("alarm_outbox", f"{AL}, {CRITICAL_SQL} SELECT machine_id, alarm_key, started_seq, occurred_at, severity FROM ce")
+@query("alarm_outbox", f"{MSG}, {OUTCOME_SQL}, {AL_PACKETS_SQL}, {CRITICAL_SQL} SELECT machine_id, alarm_key, started_seq, occurred_at, severity FROM ce")
 def alarm_outbox(spark, d):
-    events = run(spark, d).read(spark, "alarm_events").drop("batch_id")
-    return alarms.critical_events(alarms.alarm_timeline(events, MAPPED)).drop("company_id", "recv_ms")
+    """Critical events as they were written together with the periods they belong to."""
+    return run(spark, d)[0].read(spark, "outbox").select("machine_id", "alarm_key", "started_seq", "occurred_at", "severity")
+
 
+@query("stream_alarm_periods", f"""{MSG}, {OUTCOME_SQL}, {AL_PACKETS_SQL} SELECT machine_id, alarm_key, seq AS started_seq, started_at, severity, ended_at FROM tl WHERE kind = 'open'""")
+def stream_alarm_periods(spark, d):
+    return run(spark, d)[0].periods(spark).select("machine_id", "alarm_key", "started_seq", "started_at", "severity", "ended_at")
 
-@query("stream_live_state", f"""{FLEET} SELECT machine_id, max(seq) AS seq, max_by(machine_status, seq) AS machine_status FROM f
-  GROUP BY 1 HAVING max(recv_s) > (SELECT max(recv_s) FROM f) - 86400""")
+
+@query("stream_live_state", f"""{WAY} SELECT machine_id, max(seq) AS last_seq, max_by(machine_status, seq) FILTER (WHERE NOT standalone) AS status FROM ar GROUP BY 1
+  HAVING count(*) FILTER (WHERE NOT standalone) > 0 AND max_by(recv_ms, seq) // 1000 > (SELECT max(recv_ms) // 1000 FROM ar) - 86400""")
 def stream_live_state(spark, d):
-    job = run(spark, d)
-    now = job.read(spark, "state").agg(F.max("recv_ms")).first()[0] // 1000
-    return job.live(spark, PARTS - 1, now).select("machine_id", "seq", "machine_status")
+    states = machine_states(spark, run(spark, d)[1])
+    now = states.agg(F.max("recv_ms")).first()[0] // 1000
+    return live(states, now, SENT).select("machine_id", "last_seq", "status")
 
 
-@query("late_routing", f"""{FLEET}, x AS (SELECT *, recv_ms - dt_ooo * 1000 > 40000000 AS stale FROM f), y AS (SELECT *, coalesce(dt_ooo < max(CASE WHEN NOT stale THEN dt_ooo END)
-    OVER (PARTITION BY machine_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ooo FROM x)
-  SELECT seq, machine_id, dt_ooo AS obs_at, CASE WHEN stale THEN 'stale' ELSE 'out_of_order' END AS reason FROM y WHERE stale OR ooo""")
+@query("late_routing", f"{MSG}, {OUTCOME_SQL} SELECT seq, machine_id, obs_at, substring(outcome, 6) AS reason FROM oc WHERE outcome LIKE 'late%'")
 def late_routing(spark, d):
-    return run(spark, d, late=True).read(spark, "late").select("seq", "machine_id", "obs_at", "reason")
+    """Late packets with their payload: those whose text is that of the packet."""
+    late = run(spark, d)[0].read(spark, "late").alias("l")
+    sent = messages(spark, d).select("seq", F.col("payload").alias("sent"))
+    return late.join(sent, "seq").where("payload = sent").select("seq", "machine_id", "obs_at", "reason")
+
+
+@query("stream_meters", f"""{MSG}, {OUTCOME_SQL} SELECT seq, machine_id, obs_at AS read_at, standalone, {KWH_SQL} AS kwh_total, CAST(CASE WHEN NOT standalone THEN k END AS FLOAT) AS kw1
+  FROM oc WHERE outcome IN ('accepted', 'late_stale', 'late_out_of_order')""")
+def stream_meters(spark, d):
+    """Meter rows of both lanes, late packets included."""
+    return run(spark, d)[0].read(spark, "meters").select("seq", "machine_id", "read_at", "standalone", "kwh_total", "kw1")
+
 
+@query("stream_telemetry", TELEMETRY_SQL.replace("@rows", "oc JOIN a USING (machine_id, company_id) WHERE NOT standalone AND outcome = 'accepted'").replace("a.company_id", "company_id"))
+def stream_telemetry(spark, d):
+    return telemetry_columns(run(spark, d)[0].read(spark, "telemetry").drop("batch_id"))
 
-@query("stream_batch_stats", f"{FLEET} SELECT count(*) AS \"rows\" FROM f")
+
+@query("stream_batch_stats", f"""{MSG}, {OUTCOME_SQL} SELECT count(*) AS "rows", count(*) FILTER (WHERE outcome LIKE 'late%') AS late_rows FROM oc WHERE outcome NOT IN ('invalid', 'unknown_machine', 'disconnected')""")
 def stream_batch_stats(spark, d):
-    return run(spark, d).read(spark, "stats").agg(F.sum("rows").alias("rows"))
+    return run(spark, d)[0].read(spark, "batches").agg(F.sum("rows").alias("rows"), F.sum("late_rows").alias("late_rows"))
+
+
+def _early(spark, d, calendar: VersionedTable) -> None:
+    """From now on every company works the night, and every second shift begins an hour early."""
+    start = F.when(F.expr("id % 10 = 2"), "13:00").otherwise(F.col("start_time"))
+    calendar.publish(shift_calendar(shifts(spark, d).withColumn("start_time", start).withColumn("is_active", F.expr("id % 10 < 4"))))
+
+
+def _torn(spark, d, calendar: VersionedTable) -> None:
+    """The next version loses a file before anybody reads it."""
+    number = calendar.publish(shift_calendar(shifts(spark, d)).withColumn("start_s", F.lit(0)).repartition(3))
+    path = spark._jvm.org.apache.hadoop.fs.Path(calendar.root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [s.getPath() for v in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, f"version-{number}-*")) for s in fs.listStatus(v.getPath())]
+    fs.delete(next(p for p in parts if p.getName().startswith("part-")), False)
+
+
+_CHANGES = (None, _early, _torn)
+_VERSIONS = f"""s AS (SELECT *, 1 AS v FROM s0 UNION ALL SELECT n_nationkey * 10 + n, CAST(n_nationkey AS BIGINT), CASE WHEN n = 2 THEN 46800 ELSE b END, e, 2
+  FROM nation, (VALUES (1, 21600, 50400), (2, 50400, 79200), (3, 79200, 21600)) v(n, b, e))"""
+
+
+@query("dim_refresh", f"{WAY.replace(SHIFTS_SQL, 's0' + SHIFTS_SQL[1:])}, {_VERSIONS}, {BOOKINGS_SQL.replace('WHERE s.company_id = p.company_id', f'WHERE s.company_id = p.company_id AND s.v = CASE WHEN p.seq < (SELECT max(seq) + 1 FROM p) // {PARTS} THEN 1 ELSE 2 END')} SELECT * EXCLUDE (company_id) FROM ({HOURLY_SQL.format(where='')})")
+def dim_refresh(spark, d):
+    """Hours of a stream whose shift calendar changes between micro-batches, and then is replaced by one that lost a file."""
+    return run(spark, d, _CHANGES, ("hourly",))[0].hourly(spark).drop("company_id").withColumn("energy_kwh", F.round("energy_kwh", 6))
 
 
-@query("stream_dedup", f"""{MSG} SELECT machine_id, count(*) AS messages FROM q JOIN a USING (machine_id) WHERE depth_ok AND time_ok AND NOT repeated GROUP BY 1""")
+@query("stream_dedup", f"""{MSG} SELECT seq, machine_id FROM q JOIN a USING (machine_id) WHERE depth_ok AND time_ok AND NOT repeated""")
 def stream_dedup(spark, d):
     parsed = admission.parse(messages(spark, d)).where("envelope_ok").select(
         "seq", "api_key", "recv_ms", fingerprint(F.col("payload"), F.col("time_s").cast("long")).alias("fingerprint"))
     known = registry(spark, d).select("api_key", "machine_id", "company_id", "is_active")
-    rows = scratch_table(registry_join(parsed, known).select("seq", "machine_id", "recv_ms", "fingerprint"), "prints")
-    root = os.path.join(checkpoint_dir(spark), f"dedup-{os.urandom(6).hex()}")
-    rows.write.parquet(os.path.join(root, "in"))
-    stream = without_copies(spark.readStream.schema(rows.schema).parquet(os.path.join(root, "in")))
-    stream.writeStream.format("parquet").option("checkpointLocation", os.path.join(root, "checkpoint")).option(
-        "path", os.path.join(root, "out")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(os.path.join(root, "out")).groupBy("machine_id").agg(F.count("*").alias("messages"))
+    rows = registry_join(parsed, known).select("seq", "machine_id", "recv_ms", "fingerprint")
+    return _through(spark, rows, "dedup", without_copies, "seq").select("seq", "machine_id")
 
 
-@query("restart_state", f"""{STEPS} SELECT machine_id, max(seq) AS seq, CAST(max_by(coalesce(g5.baseline, -1), seq) AS BIGINT) AS baseline,
-  max_by(machine_status, seq) AS machine_status FROM g5 GROUP BY 1""")
+@query("restart_state", f"""{WAY} SELECT machine_id, max(seq) AS last_seq, CAST(max_by(coalesce(g5.baseline, -1), seq) AS BIGINT) AS baseline,
+  max_by(machine_status, seq) FILTER (WHERE NOT standalone) AS status, max_by(energy, seq) FILTER (WHERE energy > 0) AS meter FROM g5 GROUP BY 1""")
 def restart_state(spark, d):
-    """What the next start continues from: the last reading of every machine with its counter baseline."""
-    state = spark.read.schema(READING).parquet(run(spark, d).path("state", PARTS - 1))
-    newest = F.max_by(F.struct("seq", F.coalesce("parts_count", F.lit(-1)).alias("baseline"), "machine_status"), "seq")
-    return state.groupBy("machine_id").agg(newest.alias("_n")).select("machine_id", "_n.*")
+    """What the next start goes on from: the state store's row of every machine."""
+    return machine_states(spark, run(spark, d)[1]).select("machine_id", "last_seq", F.coalesce("baseline", F.lit(-1).cast("long")).alias("baseline"), "status", "meter")
 
 
 def _through(spark, rows, name, operator, time):
@@ -130,8 +171,9 @@ def _through(spark, rows, name, operator, time):
     for i, part in enumerate((F.col(time) <= cut, F.col(time) > cut)):
         landed.where(part).write.parquet(os.path.join(root, "in", f"step={i}"))
         stream = operator(spark.readStream.schema(landed.schema).parquet(os.path.join(root, "in", "*")), MAPPED)
-        stream.writeStream.format("parquet").option("path", out).option(
-            "checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+        with sorted_streams(spark):
+            going = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True).start()
+        going.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 

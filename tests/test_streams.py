@@ -1,13 +1,20 @@
 """Streams over several micro-batches: stateful rules against walks, and the machine stream's failure handling."""
 
+import json
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from millwright.operators import admission, alarms, production, tables
 from millwright.params import Params
+from millwright.session import materialise, scratch_table
+from millwright.sources.messages import stream_messages
 from millwright.sources.sinks import write_by_day
+from millwright.sources.versions import VersionedTable
 from millwright.streaming import stateful
-from millwright.streaming.machine import READING, MachineStream
+from millwright.streaming.machine import MachineStream, blocks_of, initial_states
 
 
 def drain(spark, rows, operator, p, path, order, cut):
@@ -45,31 +52,114 @@ def test_lag_alerts(spark, tmp_path):
                    (19, "late", "error", (1,)), (20, "recovered", "info", (1,))]
 
 
-def test_machine_stream_survives_repeats_and_a_lost_dimension(spark, tmp_path):
-    from tests.test_production import calendar, fleet
-    rows = [(seq, m, c, at, at * 1000, status, mode, count, kwh, [("EX1", "LOW")] if (count or 0) > 5 else [])
-            for m, c, seq, at, status, mode, count, kwh in fleet(9, 120)]
-    df = spark.createDataFrame(rows, READING)
-    reads = []
+def packet(machine, seq, at, recv_ms, **fields):
+    return (seq, f"machines/k{machine}/telemetry", json.dumps({"time": at, **fields}), recv_ms)
 
-    def dimension(s):
-        reads.append(1)
-        if len(reads) == 3:
-            raise OSError("dimension table is being replaced")
-        return calendar(s)
 
-    p = Params(chunk_seqs=16)
-    whole = MachineStream(str(tmp_path / "whole"), calendar, p)
-    whole.process(df, 0)
-    parts = MachineStream(str(tmp_path / "parts"), dimension, p)
-    for batch, cond in ((0, "seq < 50"), (1, "seq >= 50"), (1, "seq >= 50")):
-        parts.process(df.where(cond), batch)
+@pytest.fixture(scope="module")
+def packets():
+    """Two machines: copies 200 s apart, late ones, meter-only packets, alarms that open and close, counters and meters."""
+    rng, rows, seq, count, kwh = random.Random(6), [], 0, 10, 100.0
+    for i in range(60):
+        at = 1_704_100_000 + 45 * i + (200 if i >= 30 else 0)
+        for m in (1, 2):
+            seq += 1
+            count += rng.randrange(0, 3)
+            kwh = round(kwh + rng.random(), 3)
+            alarm = {"pmc_alarm": {"exist": 1, "alarms": [{"code": "A1", "severity": "critical" if i % 4 else "low"}, {"code": f"B{i % 3}"}]}} if i % 5 else {}
+            rows.append(packet(m, seq, at, at * 1000 + 500, machine_status=rng.choice(["RUN", "STOP"]), mode="AUTO", parts_count=count, Energy=kwh, **alarm))
+            if i % 7 == 0:
+                seq += 1
+                rows.append(packet(m, seq, at + 5, at * 1000 + 6_000, energy=kwh + 0.01))
+            if i % 11 == 0:
+                seq += 1
+                rows.append(packet(m, seq, at - 200, at * 1000 + 7_000, machine_status="RUN", parts_count=1))
+    resent = packet(1, 0, 1_704_100_010, 0, machine_status="RUN", parts_count=9)
+    rows += [(0, resent[1], resent[2], 1_704_100_011_000 + 200_000 * k) for k in range(6)]
+    return [(i, topic, text, ms) for i, (_, topic, text, ms) in enumerate(sorted(rows, key=lambda r: (r[3], r[0])))]
 
-    def told(job):
-        key = lambda out: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in out.collect())
-        return (key(job.hourly(spark)), key(job.read(spark, "gaps").drop("batch_id")), key(job.read(spark, "alarm_events").drop("batch_id")))
 
-    assert told(whole) == told(parts)
+def machines(spark):
+    return spark.createDataFrame([(1, "k1", 5, 9, "FANUC", True), (2, "k2", 5, 9, "OTHER", True)],
+                                 "machine_id BIGINT, api_key STRING, company_id BIGINT, plant_id BIGINT, controller_type STRING, is_active BOOLEAN")
+
+
+def versions(spark, path):
+    table = VersionedTable(path)
+    table.publish(spark.createDataFrame([(1, 5, 0, 43_200), (2, 5, 43_200, 0)], "shift_id BIGINT, company_id BIGINT, start_s INT, end_s INT"))
+    return table
+
+
+def streamed(spark, df, root, cuts, calendar, **options):
+    stateful.use_rocksdb(spark)
+    job = MachineStream(os.path.join(root, "tables"), machines(spark), calendar.pinned, **options)
+    for i, (a, b) in enumerate(zip((-1, *cuts), (*cuts, 1 << 40))):
+        df.where((F.col("seq") > a) & (F.col("seq") <= b)).coalesce(1).write.json(os.path.join(root, "in", f"step={i}"))
+        job.start(stream_messages(spark, os.path.join(root, "in", "*")), os.path.join(root, "checkpoint")).awaitTermination()
+    return job
+
+
+def told(out, *columns):
+    return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in out.select(*columns).collect())
+
+
+HOURS = ("machine_id", "shift_id", "hour_start", "run_seconds", "idle_seconds", "produced_qty", "energy_kwh")
+GAPS = ("seq", "machine_id", "gap_from", "gap_to", "unallocated_parts", "unallocated_energy")
+
+
+def test_machine_stream_equals_the_batch_and_survives_a_repeat(spark, packets, tmp_path):
+    df = spark.createDataFrame(packets, "seq BIGINT, topic STRING, payload STRING, recv_ms BIGINT")
+    calendar = versions(spark, str(tmp_path / "calendar"))
+    job = streamed(spark, df, str(tmp_path), (40, 90), calendar)
+    outcome = told(admission.classify(df, machines(spark)).where("outcome NOT IN ('invalid')"), "seq", "outcome")
+    assert told(job.read(spark, "steps"), "seq", "outcome") == outcome
+    resent = [r.outcome for r in job.read(spark, "steps").where("payload LIKE '%1704100010%'").orderBy("seq").collect()]
+    assert resent == ["accepted", "duplicate", "late_stale", "duplicate", "late_stale", "duplicate"]
+    steps = production.production_steps(admission.accepted_readings(df, machines(spark)))
+    slices = production.production_slices(steps, calendar.pinned(spark)[1])
+    hours, gaps = told(production.production_hourly(slices), *HOURS), told(production.gap_records(steps), *GAPS)
+    assert told(job.hourly(spark), *HOURS) == hours and told(job.read(spark, "gaps"), *GAPS) == gaps and hours and gaps
+    again = scratch_table(spark.read.parquet(job.path("steps", 1)), "again")
+    job.write(again, 1)
+    assert told(job.hourly(spark), *HOURS) == hours and told(job.read(spark, "gaps"), *GAPS) == gaps
+    held = alarms.alarm_state(blocks_of(df.join(admission.classify(df, machines(spark)).where("outcome = 'accepted' AND NOT is_energy").drop("recv_ms"), "seq")))
+    events = alarms.alarm_events(alarms.alarm_diff(held))
+    key = ("machine_id", "alarm_key", "kind", "seq")
+    assert told(job.read(spark, "alarm_events"), *key) == told(events, *key)
+    periods = ("machine_id", "alarm_key", "started_seq", "started_at", "ended_at")
+    plain = alarms.alarm_periods(alarms.alarm_timeline(materialise(events)))
+    key = lambda rows: sorted(map(repr, rows))
+    assert key(map(tuple, job.periods(spark).select(*periods).collect())) == key(map(tuple, plain.select(*periods).collect()))
+
+
+def test_a_cold_start_from_the_tables_goes_on_like_a_stream_that_never_stopped(spark, packets, tmp_path):
+    df = spark.createDataFrame([r for r in packets if "1704100010" not in r[2]], "seq BIGINT, topic STRING, payload STRING, recv_ms BIGINT")
+    calendar = versions(spark, str(tmp_path / "calendar"))
+    some = ("late", "hourly", "gaps", "meters", "telemetry")
+    whole = streamed(spark, df, str(tmp_path / "whole"), (80,), calendar, tables=some)
+    first = lambda table: spark.read.parquet(whole.path(table, 0))
+    now = df.where("seq <= 80").agg(F.max("recv_ms")).first()[0] // 1000
+    stored = first("telemetry").withColumn("recv_s", F.unix_seconds("received_at"))
+    energy = first("meters").where("kwh_total IS NOT NULL").select("machine_id", "seq", F.col("kwh_total").alias("energy"), F.col("read_at").alias("observed_at"), F.col("read_at").alias("recv_s"), "standalone")
+    codes = spark.createDataFrame([], "machine_id BIGINT, codes ARRAY<STRING>")
+    baseline = tables.bootstrap_baseline(machines(spark), stored, energy, codes, now + 60)
+    cold = streamed(spark, df.where("seq > 80"), str(tmp_path / "cold"), (), calendar, tables=some, initial=initial_states(baseline))
+    late = {r.seq for r in first("late").collect()}
+    for table, columns in (("hourly", HOURS), ("gaps", GAPS)):
+        assert told(spark.read.parquet(cold.path(table, 0)), *columns) == told(spark.read.parquet(whole.path(table, 1)), *columns)
+    assert late and told(spark.read.parquet(cold.path("steps", 0)), "seq", "outcome") == told(spark.read.parquet(whole.path("steps", 1)), "seq", "outcome")
+
+
+def test_a_version_that_lost_a_file_is_passed_over(spark, tmp_path):
+    table = VersionedTable(str(tmp_path / "dim"))
+    rows = lambda n: spark.range(n).withColumn("v", F.lit(n)).repartition(2)
+    assert table.publish(rows(10)) == 1 and table.publish(rows(20)) == 2
+    assert table.pinned(spark)[0] == 2
+    number, held = table.pinned(spark)
+    folder = next(p for p in (tmp_path / "dim").iterdir() if p.name.startswith("version-2-"))
+    next(folder.glob("part-*")).unlink()
+    assert table.pinned(spark)[0] == 1 and table.pinned(spark)[1].count() == 10
+    assert held.count() == 20  # who holds a version keeps it
 
 
 def test_rows_are_partitioned_by_receipt_day(spark, tmp_path):
