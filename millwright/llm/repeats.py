@@ -253,7 +253,8 @@ def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) ->
     """(row, text, spans): each row of ``docs`` as a struct, its text, and the begins and ends of its spans."""
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"), F.coalesce(F.xxhash64(id_col), F.lit(0)).alias("k1"),
                         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k2"))
-    listed = spans.groupBy("k1", "k2").agg(F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end"))  # as many as one text has
+    # rows alike in id and text tell the same spans: each counts once, so there are as many as one text has
+    listed = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("s")).select("k1", "k2", F.col("s.begin").alias("begin"), F.col("s.end").alias("end"))
     return keyed.join(listed, ["k1", "k2"], "left").select("row", "text", "begin", "end")
 
 

@@ -173,6 +173,10 @@ def test_removal_of_self_overlap_and_repeated_rows(spark, empty):
     assert by_id(repeats.removal_digests(docs, 400), "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain.repeats([r.text for r in rows], 400)
     twice = spark.createDataFrame([(1, "".join(map(str, range(200))))] * 2, "doc_id long, text string")
     assert [r.n_removed for r in repeats.removal_digests(twice, 400).collect()] == [490, 490]
+    often = spark.createDataFrame([(1, twice.first().text)] * 300, "doc_id long, text string").repartition(3)
+    spans = repeats.repeated_spans(repeats.row_keys(often, "doc_id", "text"), 400)
+    held = repeats.with_spans(often, spans, "doc_id", "text").select(F.size("begin").alias("n")).collect()
+    assert len(held) == 300 and max(r.n for r in held) <= 490  # not three hundred times as many
     assert repeats.removal_digests(empty, 400).count() == 0
 
 
