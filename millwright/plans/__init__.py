@@ -3,7 +3,7 @@
 from importlib import import_module
 
 # one module per part of the inventory
-MODULES = ("production", "admission", "alarms", "signals", "records", "dataflow", "streams")
+MODULES = ("production", "admission", "alarms", "lifecycle", "signals", "records", "dataflow", "streams")
 
 
 def load():
