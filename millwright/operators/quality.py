@@ -93,17 +93,20 @@ def quarantine_summary(parsed: DataFrame) -> DataFrame:
     safe = "^[A-Za-z_][A-Za-z_0-9]{0,63}$"
     reason = _path(d, "$.reason")
     field = lambda table, column, path: F.struct(
-        F.lit(table).alias("table"), F.lit(column).alias("column"), F.char_length(_path(d, path)).cast("long").alias("characters"))
+        F.lit(table).alias("table"), F.lit(column).alias("column"), F.char_length(_path(d, path)).cast("long").alias("characters"),
+        F.lit(None).cast("int").alias("alarm_index"))
     opens = F.try_variant_get(d, "$.record.a.opens", "array<variant>")
-    of_alarm = F.flatten(F.transform(F.coalesce(opens, F.array().cast("array<variant>")), lambda a: F.array(*[F.struct(
+    of_alarm = F.flatten(F.transform(F.coalesce(opens, F.array().cast("array<variant>")), lambda a, i: F.array(*[F.struct(
         F.lit("machine_alarms").alias("table"), F.lit(c).alias("column"),
-        F.char_length(F.try_variant_get(a, f"$.{k}", "string")).cast("long").alias("characters")) for c, k in ALARM_TEXTS])))
+        F.char_length(F.try_variant_get(a, f"$.{k}", "string")).cast("long").alias("characters"), i.alias("alarm_index")) for c, k in ALARM_TEXTS])))
     row = lambda name: first(f"$.record.r.{name}", f"$.record.l.{name}", f"$.record.a.{_camel(name)}",
                              f"$.record.m.{_camel(name)}", f"$.record.gap.{name}")
     texts = F.concat(F.array(
         field("telemetry_raw", "machine_status", "$.record.r.machine_status"), field("telemetry_raw", "mode", "$.record.r.mode"),
         field("telemetry_late", "reason", "$.record.l.reason"), field("ingest_gaps", "reason", "$.record.gap.reason")), of_alarm)
+    at = _word(d, "$.at", r"^\d{4}-\d{2}-\d{2}T[\d:.]+Z$")
     summary = dict(
+        quarantined_at=F.when(at.try_cast("timestamp").isNotNull(), at),
         sequence=_id(_path(d, "$.record.s")), machine_id=row("machine_id"), company_id=row("company_id"),
         device_time=first("$.record.r.device_time", "$.record.l.device_time"),
         reason=F.when(reason.isin(*REASONS), reason).otherwise("unclassified"),

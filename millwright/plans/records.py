@@ -289,19 +289,20 @@ def reject_text_lengths(spark, d):
 def quarantine_lines(spark, d):
     """Dead letters as NDJSON lines in file order: some torn, some too long, some blank."""
     return readings(spark, d).selectExpr("seq AS pos", """CASE WHEN k = 11 THEN '{"at":' WHEN k = 12 THEN '  ' WHEN k = 13 THEN repeat('x', 2000) WHEN k = 14 THEN '{"a":1} tail' ELSE
-      concat('{"at":"2024-01-01T00:00:00.000Z","reason":"', CASE WHEN k % 2 = 0 THEN 'database_rejected' ELSE 'other' END, '","code":"', CASE WHEN k % 3 = 0 THEN '22001' ELSE 'bad' END,
+      concat('{"at":"2024-01-', CASE WHEN k % 4 = 0 THEN '77' ELSE '01' END, 'T00:00:00.000Z","reason":"', CASE WHEN k % 2 = 0 THEN 'database_rejected' ELSE 'other' END, '","code":"', CASE WHEN k % 3 = 0 THEN '22001' ELSE 'bad' END,
         '","stage":"', CASE WHEN k % 5 = 0 THEN 'machine alarms; --' ELSE 'machine_alarms' END, '","record":{"s":', seq, ',"r":{"machine_id":', machine_id, ',"company_id":"', machine_id % 5,
         '","device_time":', device_time, ',"mode":"', mode, '"},"a":{"opens":[{"alarm_code":"', repeat('ü', CAST(k AS INT)), '"}]}}}') END AS value""")
 
 
 LETTER = MAPPED.with_(max_line_bytes=1_000)
-LETTERS_SQL = "lt AS (SELECT seq AS pos, nullif(seq, 0) AS sequence, nullif(machine_id, 0) AS machine_id, nullif(machine_id % 5, 0) AS company_id, device_time, CASE WHEN k % 2 = 0 THEN 'database_rejected' ELSE 'unclassified' END AS reason, CASE WHEN k % 3 = 0 THEN '22001' END AS sqlstate, CASE WHEN k % 5 > 0 THEN 'machine_alarms' END AS stage, length(mode) AS mode_chars, k AS code_chars FROM t WHERE k NOT IN (11, 12, 13, 14))"
+LETTERS_SQL = "lt AS (SELECT seq AS pos, CASE WHEN k % 4 > 0 THEN '2024-01-01T00:00:00.000Z' END AS quarantined_at, 0 AS alarm_index, nullif(seq, 0) AS sequence, nullif(machine_id, 0) AS machine_id, nullif(machine_id % 5, 0) AS company_id, device_time, CASE WHEN k % 2 = 0 THEN 'database_rejected' ELSE 'unclassified' END AS reason, CASE WHEN k % 3 = 0 THEN '22001' END AS sqlstate, CASE WHEN k % 5 > 0 THEN 'machine_alarms' END AS stage, length(mode) AS mode_chars, k AS code_chars FROM t WHERE k NOT IN (11, 12, 13, 14))"
 
 
 def letters(spark, d):
     summary = quality.quarantine_summary(quality.parse_quarantine(quarantine_lines(spark, d), LETTER))
     chars = lambda c: F.get(F.filter("text_fields", lambda t: t["column"] == c), F.lit(0))["characters"]
-    return summary.select("pos", "sequence", "machine_id", "company_id", "device_time", "reason", "sqlstate", "stage",
+    index = F.get(F.filter("text_fields", lambda t: t["column"] == "alarm_code"), F.lit(0))["alarm_index"]
+    return summary.select("pos", "quarantined_at", index.alias("alarm_index"), "sequence", "machine_id", "company_id", "device_time", "reason", "sqlstate", "stage",
                           chars("mode").alias("mode_chars"), chars("alarm_code").alias("code_chars"))
 
 
