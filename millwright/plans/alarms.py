@@ -64,13 +64,20 @@ CLASS_SQL = ("CASE WHEN upper(trim({0})) IN ('CRITICAL','FATAL','EMERGENCY') THE
              "('INFO','INFORMATION','INFORMATIONAL','LOW','MESSAGE') THEN 'info' ELSE 'noncritical' END")
 
 
-@query("alarm_state_of_reading", f"""{AL} SELECT seq, string_agg(alarm_key, ',' ORDER BY alarm_key) AS alarm_keys,
+# from packets: what their payloads list
+STATE_SQL = """al AS (SELECT seq, 'EX' || (1000 + k % 3) AS alarm_key, CASE WHEN k % 10 = 0 THEN 'CRITICAL' ELSE 'NORMAL' END AS severity FROM q WHERE NOT standalone AND event_type = 'error'
+  UNION ALL SELECT seq, 'SV0' || (400 + k % 2), 'CRITICAL' FROM q WHERE NOT standalone AND event_type = 'error'
+  UNION ALL SELECT seq, CAST(k % 4 AS VARCHAR), 'NORMAL' FROM q WHERE NOT standalone AND event_type = 'error'
+  UNION ALL SELECT seq, 'UNSPECIFIED', 'NORMAL' FROM q WHERE NOT standalone AND event_type <> 'error' AND k % 9 = 0)"""
+
+
+@query("alarm_state_of_reading", f"""{MSG}, {STATE_SQL} SELECT seq, string_agg(alarm_key, ',' ORDER BY alarm_key) AS alarm_keys,
   string_agg(alarm_key || '=' || severity, ',' ORDER BY alarm_key) AS severities FROM al GROUP BY 1""")
 def alarm_state_of_reading(spark, d):
+    listed = ops.alarm_state(opened(spark, d)).where(F.size("alarms") > 0).select("seq", F.array_sort("alarms").alias("alarms"))
     pair = F.transform("alarms", lambda a: F.concat(a["alarm_key"], F.lit("="), a["severity"]))
-    return alarm_readings(spark, d).where(F.size("alarms") > 0).select(
-        "seq", F.array_join(F.transform("alarms", lambda a: a["alarm_key"]), ",").alias("alarm_keys"),
-        F.array_join(pair, ",").alias("severities"))
+    return listed.select("seq", F.array_join(F.transform("alarms", lambda a: a["alarm_key"]), ",").alias("alarm_keys"),
+                         F.array_join(pair, ",").alias("severities"))
 
 
 @query("alarm_diff", f"{AL} SELECT seq, machine_id, alarm_key, kind, severity FROM ev")
