@@ -144,8 +144,8 @@ def step_columns(carried: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     )
 
 
-def gap_records(steps: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """One record per unobserved stretch, with what could not be given to an hour."""
+def gap_records(steps: DataFrame, p: Params = DEFAULTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One record per unobserved stretch, with what could not be given to an hour, and the columns to ``keep``."""
     used = F.coalesce(F.col("energy_delta") > 0, F.lit(False))
     start = F.when(F.col("long_gap"), F.least(
         F.col("prev_at"), F.when(used, F.col("meter_from")).otherwise(F.col("prev_at"))
@@ -156,7 +156,7 @@ def gap_records(steps: DataFrame, p: Params = DEFAULTS) -> DataFrame:
         F.when(F.col("long_gap"), p.freshness_s).otherwise(0).cast("long").alias("known_state_seconds"),
         F.when(F.col("long_gap"), F.col("produced")).otherwise(0).cast("long").alias("unallocated_parts"),
         F.col("energy_delta").alias("unallocated_energy"),
-        F.lit("observations_missing").alias("reason"),
+        F.lit("observations_missing").alias("reason"), *keep,
     )
 
 

@@ -65,6 +65,15 @@ def insert_missing(stored: DataFrame, rows: DataFrame, key: list[str]) -> DataFr
     return rows.join(stored.select(*key), key, "left_anti")
 
 
+def gap_rows(stored: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Gap records not stored yet, as rows of their table: its key is the collector and that collector's journal number.
+
+    ``gaps`` also have collector_id and recv_ms; a collector sends no number twice, another one may send the same.
+    """
+    rows = gaps.withColumnRenamed("seq", "journal_seq").withColumn("received_at", F.timestamp_millis("recv_ms")).drop("recv_ms")
+    return insert_missing(stored, rows, ["collector_id", "journal_seq"])
+
+
 def retained(rows: DataFrame, received_s: str, now_s: int, keep_s: int) -> DataFrame:
     return rows.where(F.col(received_s) >= now_s - keep_s)
 

@@ -16,9 +16,9 @@ from millwright.plans.mapping import fleet, readings, registry, shifts
 CAL = shift_ops.shift_calendar
 
 
-def steps_of(spark, d):
-    """The columns every production query starts from, narrowed before the shuffle."""
-    base = fleet(spark, d).select("seq", "machine_id", "company_id", "obs_at", "machine_status", "mode",
+def steps_of(spark, d, keep=()):
+    """The columns every production query starts from, narrowed before the shuffle, and those to ``keep``."""
+    base = fleet(spark, d).select("seq", *keep, "machine_id", "company_id", "obs_at", "machine_status", "mode",
                                   F.col("parts_count").cast("long").alias("parts_count"), "energy")
     return ops.production_steps(base, MAPPED)
 
