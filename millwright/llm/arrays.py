@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 19  # texts are worked on in runs of whole documents of about this size
+CHUNK_BYTES = 1 << 17  # texts are worked on in runs of whole documents of about this size
 _ODD = 0x9E3779B97F4A7C15  # any odd number; the golden ratio spreads bits well
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _KEPT = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
@@ -47,13 +47,17 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of the odd number and of its inverse, at least n; kept, as every run of documents needs them."""
-    if len(_KEPT[0]) < n:
-        steps = np.full((2, max(n, 2 * CHUNK_BYTES)), _ODD, dtype=np.uint64)
-        steps[1] = _INVERSE
-        steps[:, 0] = 1
-        _KEPT[0], _KEPT[1] = np.cumprod(steps[0]), np.cumprod(steps[1])
-    return _KEPT[0], _KEPT[1]
+    """The first powers of the odd number and of its inverse, at least n. A table as long as two runs is kept; what a longer text needs is not."""
+    if len(_KEPT[0]) >= n:
+        return _KEPT[0], _KEPT[1]
+    made = []
+    for step in (_ODD, _INVERSE):
+        powers = np.full(max(n, 2 * CHUNK_BYTES), step, dtype=np.uint64)
+        powers[0] = 1
+        made.append(np.cumprod(powers, out=powers))
+    if n <= 2 * CHUNK_BYTES:
+        _KEPT[:] = made
+    return made[0], made[1]
 
 
 class Prefixes:
@@ -65,7 +69,8 @@ class Prefixes:
         values = _SEEDED[seed][data] if data.dtype == np.uint8 else mixed(data + np.uint64(seed)) | np.uint64(1)
         power, self._undo = _powers(n + 1)
         self._sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(values * power[:n], out=self._sums[1:])
+        np.multiply(values, power[:n], out=self._sums[1:])
+        np.cumsum(self._sums[1:], out=self._sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self._sums[end] - self._sums[start]) * self._undo[start] + (end - start).astype(np.uint64))

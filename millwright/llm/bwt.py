@@ -14,7 +14,7 @@ import numpy as np
 
 from millwright.llm.arrays import Prefixes
 
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 17
 MOST_BYTES = 50  # of a symbol
 
 

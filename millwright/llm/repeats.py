@@ -25,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.arrays import Prefixes, runs, text_bytes
+from millwright.llm.arrays import CHUNK_BYTES, Prefixes, runs, text_bytes
 from millwright.llm.bwt import repeated_starts
 from millwright.session import scratch_table
 
 GRAM_SHARE = 0.32  # of the length: bytes of the substrings that anchors are chosen from
 GROUP_CELLS = 256  # different cells under one key that go to one task together
 TASK_BYTES = 4 << 20
-MERGE_BYTES = 1 << 20  # cells whose transforms are merged at a time
+MERGE_BYTES = 1 << 18  # cells whose transforms are merged at a time
 WIDTHS = (32, 4, 1)  # window starts dealt together, step by step, under crowded anchors
-PLACE_BITS = 28
+PLACE_BITS = 28  # of a place within a piece; the same for all pieces, as of equal hashes the last counts
+SLICE_ROWS = 1024  # cells that are Python objects at a time
 CELL = "k1 long, k2 long, place long, windows int, back int, a1 long, a2 long, s1 long, s2 long"
 
 
@@ -81,14 +82,28 @@ def cells_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
             hashes[0].of(start, end).view(np.int64), hashes[1].of(start, end).view(np.int64))
 
 
+def _pieces(offsets: np.ndarray, length: int, size: int = CHUNK_BYTES):
+    """(first document, end, first byte, end) of what is worked on at a time.
+
+    A longer document is taken in pieces that share ``length`` - 1 bytes, so every window is in one piece. A cell that is
+    cut there is two cells of one anchor, which are compared like any two.
+    """
+    for a, b in runs(offsets, size):
+        first, last = int(offsets[a]), int(offsets[b])
+        step = last - first if b - a > 1 else size
+        for begin in range(first, max(last - length + 1, first + 1), max(step, 1)):
+            yield a, b, begin, min(begin + step + length - 1, last)
+
+
 def _cells(texts: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             keys = [batch.column(c).to_numpy() for c in ("k1", "k2")]
-            for a, b in runs(offsets):
-                doc, start, count, back, a1, a2, s1, s2 = cells_of(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], length)
-                place = start - (offsets[a + doc] - offsets[a])
+            for a, b, begin, end in _pieces(offsets, length):
+                bounds = (offsets[a:b + 1] - begin).clip(0, end - begin)
+                doc, start, count, back, a1, a2, s1, s2 = cells_of(data[begin:end], bounds, length)
+                place = start + begin - offsets[a + doc]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[0][a + doc], keys[1][a + doc], place, count.astype(np.int32), back.astype(np.int32), a1, a2, s1, s2)],
                                                  ["k1", "k2", "place", "windows", "back", "a1", "a2", "s1", "s2"])
 
@@ -113,14 +128,22 @@ def _read_cells(cells: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                 text = (batch.column("text")[i].as_py() or "").encode()
                 found = batch.column("cells")[i].values
                 fields = {n: found.field(n) for n in named}
-                bodies = [text[p:p + w - 1 + length] for p, w in zip(fields["place"].to_pylist(), fields["windows"].to_pylist())]
-                k = [pa.array([batch.column(c)[i].as_py()] * len(bodies), pa.int64()) for c in ("k1", "k2")]
-                yield pa.RecordBatch.from_arrays([*k, *fields.values(), pa.array(bodies, pa.binary())], ["k1", "k2", *named, "body"])
+                for at in range(0, len(found), SLICE_ROWS):
+                    part = {n: f.slice(at, SLICE_ROWS) for n, f in fields.items()}
+                    bodies = [text[p:p + w - 1 + length] for p, w in zip(part["place"].to_pylist(), part["windows"].to_pylist())]
+                    k = [pa.array([batch.column(c)[i].as_py()] * len(bodies), pa.int64()) for c in ("k1", "k2")]
+                    yield pa.RecordBatch.from_arrays([*k, *part.values(), pa.array(bodies, pa.binary())], ["k1", "k2", *named, "body"])
 
     schema = ", ".join(["k1 long", "k2 long", *(f"{n} {kinds[n]}" for n in named), "body binary"])
     return joined.mapInArrow(run, schema).dropDuplicates(["a1", "a2", "s1", "s2"])
 
 
+def _rows(batch: pa.RecordBatch):
+    """The rows of a batch, of which few are Python objects at a time."""
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        yield from batch.slice(at, SLICE_ROWS).to_pylist()
+
+
 def _divided(cells: DataFrame, width: int, length: int) -> DataFrame:
     """Cells of at most ``width`` windows, each keyed by its place about the anchor and the bytes that all windows there share."""
 
@@ -131,7 +154,7 @@ def _divided(cells: DataFrame, width: int, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 low, body = -r["back"], r["body"]
                 own = b"%d/%d/" % (r["a1"], r["a2"])
                 for slot in range(low // width, (low + r["windows"] - 1) // width + 1):
@@ -142,6 +165,9 @@ def _divided(cells: DataFrame, width: int, length: int) -> DataFrame:
                     s1, s2 = halves(b"%d:" % first + piece)
                     out.append({"k1": r["k1"], "k2": r["k2"], "place": r["place"] + first - low, "windows": last - first + 1, "back": -first, "a1": a1, "a2": a2, "s1": s1, "s2": s2,
                                 "weight": r["weight"], "body": piece})
+                if len(out) >= SLICE_ROWS:
+                    yield from pa.Table.from_pylist(out, schema=_ARROW).to_batches()
+                    out = []
             if out:
                 yield from pa.Table.from_pylist(out, schema=_ARROW).to_batches()
 
@@ -167,7 +193,7 @@ def _merged(cells: DataFrame, length: int) -> DataFrame:
     def run(batches):
         held, size, last = [], 0, None
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 key = (row["a1"], row["a2"])
                 if size >= MERGE_BYTES and key != last:
                     yield flush(held)
@@ -250,18 +276,19 @@ def outside(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, text, spans): each row of ``docs`` as a struct, its text, and the begins and ends of its spans."""
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"), F.coalesce(F.xxhash64(id_col), F.lit(0)).alias("k1"),
+    """(row, begin, end): each row of ``docs`` as a struct, and the begins and ends of its spans."""
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.xxhash64(id_col), F.lit(0)).alias("k1"),
                         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k2"))
     # rows alike in id and text tell the same spans: each counts once, so there are as many as one text has
     listed = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("s")).select("k1", "k2", F.col("s.begin").alias("begin"), F.col("s.end").alias("end"))
-    return keyed.join(listed, ["k1", "k2"], "left").select("row", "text", "begin", "end")
+    return keyed.join(listed, ["k1", "k2"], "left").select("row", "begin", "end")
 
 
 def removal_digests(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row. A null text is an empty one; repeated rows are places of their own."""
     docs = docs.select(id_col, text_col)
-    found = with_spans(docs, repeated_spans(row_keys(docs, id_col, text_col), length), id_col, text_col).select(F.col(f"row.{id_col}").alias("id"), "text", "begin", "end")
+    found = with_spans(docs, repeated_spans(row_keys(docs, id_col, text_col), length), id_col, text_col).select(
+        F.col(f"row.{id_col}").alias("id"), F.col(f"row.{text_col}").alias("text"), "begin", "end")
 
     def run(batches):
         for batch in batches:
@@ -288,21 +315,23 @@ def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     def run(batches):
         for batch in batches:
             kept = []
-            for text, begin, end in zip(*(batch.column(c) for c in ("text", "begin", "end"))):
+            row = batch.column("row")
+            fields = row.flatten()
+            for text, begin, end in zip(fields[at], batch.column("begin"), batch.column("end")):
                 text = text.as_py()
-                if text is not None and begin.as_py():
+                if text is not None and begin.is_valid and len(begin):
                     data = text.encode()
                     text = outside(data, whole_characters(data, joined_spans(begin.as_py(), end.as_py()))).decode()
                 kept.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "kept"])
+            fields[at] = pa.array(kept, row.type[at].type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(row.type))], ["row"])
 
-    cut = found.mapInArrow(run, f"row {found.schema['row'].dataType.simpleString()}, kept string")
+    at = docs.columns.index(text_col)
+    cut = found.mapInArrow(run, f"row {found.schema['row'].dataType.simpleString()}")
     columns = []
     for f in docs.schema.fields:
         column = F.col(f"row.`{f.name}`")
-        if f.name == text_col:
-            column = F.col("kept")
-        elif f.name == count_col:
-            column = F.when(F.col(f"row.`{text_col}`").isNull(), column).otherwise(F.char_length("kept").cast(f.dataType))
+        if f.name == count_col:
+            column = F.when(F.col(f"row.`{text_col}`").isNull(), column).otherwise(F.char_length(f"row.`{text_col}`").cast(f.dataType))
         columns.append(column.alias(f.name))
     return cut.select(*columns)

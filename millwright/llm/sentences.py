@@ -115,7 +115,8 @@ def without_repeated_sentences(docs: DataFrame, params: SpanParams = DEFAULTS, i
     is a copy of the other. Only the identifier and the text are read, so other columns cannot clash.
     """
     docs = docs.select(id_col, text_col)
-    found = with_spans(docs, repeated_sentence_spans(docs, params, id_col, text_col), id_col, text_col).select(F.col(f"row.{id_col}").alias("id"), "text", "begin", "end")
+    found = with_spans(docs, repeated_sentence_spans(docs, params, id_col, text_col), id_col, text_col).select(
+        F.col(f"row.{id_col}").alias("id"), F.col(f"row.{text_col}").alias("text"), "begin", "end")
 
     def run(batches):
         for batch in batches:

@@ -180,6 +180,24 @@ def test_removal_of_self_overlap_and_repeated_rows(spark, empty):
     assert repeats.removal_digests(empty, 400).count() == 0
 
 
+def test_long_texts_are_taken_in_pieces(spark):
+    offsets = np.array([0, 5, 5, 905, 1000, 1300])
+    seen = []
+    for a, b, begin, end in repeats._pieces(offsets, 40, 100):
+        for doc in range(a, b):
+            low, high = max(begin, offsets[doc]), min(end, offsets[doc + 1])
+            seen += [(doc, at) for at in range(low, high - 40 + 1)]
+    assert sorted(seen) == [(d, at) for d in range(5) for at in range(offsets[d], offsets[d + 1] - 40 + 1)]  # every window once
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    size, shared = repeats.CHUNK_BYTES, letters(900)
+    long = letters(size - 450) + shared + letters(size - 700) + shared + letters(2000)  # both copies stand across a border
+    docs = spark.createDataFrame([(0, long), (1, letters(50) + shared[100:600]), (2, None)], "doc_id long, text string")
+    got = by_id(repeats.removal_digests(docs, 400), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == plain.repeats([r.text for r in sorted(docs.collect())], 400)
+    assert got[0][1] >= 1800 and got[1][1] >= 500
+
+
 def test_repeats_are_cut_in_whole_characters(spark):
     common = "é" * 10 + "".join(map(str, range(100, 300)))
     docs = spark.createDataFrame([(1, "è" + common, "a", 0), (2, "ê" + common, "b", 0), (3, None, "c", 7)], "doc_id long, text string, body string, n_chars int")
