@@ -33,6 +33,7 @@ class QualityParams:
 
 
 DEFAULTS = QualityParams()
+PARTS = 16  # tasks that make the features of a sample
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,7 +64,8 @@ def sampled_features(sample: DataFrame, groups, bits: int, names: list[str]) ->
                     + [batch.column(n).slice(a, count) for n in names], ["id", "buckets", "shares", *names])
 
     schema = f"id {sample.schema['id'].dataType.simpleString()}, buckets binary, shares binary, " + ", ".join(f"{n} int" for n in names)
-    made = sample.mapInArrow(features, schema).toArrow()
+    # a limit leaves one partition: dealt out, the features reach the driver in small pieces, not as one task's result
+    made = sample.repartition(PARTS, "id").mapInArrow(features, schema).toArrow()
     ids = [str(i) for i in made.column("id").to_pylist()]
     # arrays over the Arrow buffers themselves: the driver's Python holds the sample's features once
     buckets, shares = ([np.frombuffer(v.as_buffer(), t) for v in made.column(c)] for c, t in (("buckets", np.int32), ("shares", np.float32)))

@@ -61,14 +61,13 @@ def select_features(examples: list, marks: np.ndarray, params: ToxicityParams) -
 
 
 def _fit(x: np.ndarray, y: np.ndarray, params: ToxicityParams) -> np.ndarray:
-    """Weights of a logistic model, the intercept last, by accelerated gradient steps."""
-    x = np.column_stack((x, np.ones(len(x))))
+    """Weights of a logistic model by accelerated gradient steps; the last column of ``x`` is ones, for the intercept."""
     rate = (y.sum() + 1) / (len(y) + 2)
     w = np.zeros(x.shape[1])
     w[-1] = np.log(rate / (1 - rate))
     if not 0 < y.sum() < len(y):
         return w
-    step = 4 / (np.square(x).sum(axis=1).mean() + params.ridge)
+    step = 4 / (np.einsum("ij,ij->", x, x) / len(x) + params.ridge)
     ahead, speed = w.copy(), 1.0
     for _ in range(params.rounds):
         slope = x.T @ (1 / (1 + np.exp(-(x @ ahead))) - y) / len(y) + params.ridge * np.append(ahead[:-1], 0)
@@ -87,11 +86,11 @@ def fit_chain(x: np.ndarray, marks: np.ndarray, params: ToxicityParams) -> list[
     fold = np.arange(len(x)) % params.folds
     chain, earlier = [], np.zeros((len(x), 0))
     for c in range(marks.shape[1]):
-        inputs, y = np.column_stack((x, earlier)), marks[:, c].astype(float)
+        inputs, y = np.column_stack((x, earlier, np.ones(len(x)))), marks[:, c].astype(float)
         out = np.zeros(len(x))
         for k in range(params.folds):
             rest, own = fold != k, fold == k
-            out[own] = _probability(inputs[own], _fit(inputs[rest], y[rest], params))
+            out[own] = _probability(inputs[own, :-1], _fit(inputs[rest], y[rest], params))
         chain.append(_fit(inputs, y, params))
         earlier = np.column_stack((earlier, out))
     return chain
@@ -117,8 +116,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams =
     for i, (bucket, share) in enumerate(examples):
         at = np.searchsorted(buckets, bucket)
         hit = np.flatnonzero((at < len(buckets)) & (buckets[np.minimum(at, len(buckets) - 1)] == bucket)) if len(buckets) else []
-        x[i, at[hit]] = share[hit]
-    return buckets, fit_chain(_scaled(x), target, params)
+        x[i, at[hit]] = _scaled(share[hit])
+    del examples
+    return buckets, fit_chain(x, target, params)
 
 
 def _counts(data, offsets, bits):
