@@ -3,7 +3,7 @@
 from importlib import import_module
 
 # one module per part of the inventory
-MODULES = ("production", "admission", "alarms", "lifecycle", "signals", "records", "dead_letters", "dataflow", "streams")
+MODULES = ("production", "admission", "alarms", "lifecycle", "signals", "records", "day_tables", "dead_letters", "dataflow", "streams")
 
 
 def load():
