@@ -52,7 +52,7 @@ def run(spark, d, changes=(), tables=TABLES) -> tuple[MachineStream, str]:
         for i in landed_steps(spark, d, root):
             if i < len(changes) and changes[i]:
                 changes[i](spark, d, calendar)
-            job.start(stream_messages(spark, os.path.join(root, "in", "*")), checkpoint).awaitTermination()
+            job.run(stream_messages(spark, os.path.join(root, "in", "*")), checkpoint)
         _RUNS[key] = (job, checkpoint)
     return _RUNS[key]
 
@@ -119,6 +119,16 @@ def stream_batch_stats(spark, d):
     return run(spark, d)[0].read(spark, "batches").agg(F.sum("rows").alias("rows"), F.sum("late_rows").alias("late_rows"))
 
 
+@query("stream_metrics", f"""{WAY}, {GAPS_SQL}, pk AS (SELECT outcome, seq, (SELECT max(seq) + 1 FROM oc) AS n FROM oc),
+  pb AS (SELECT outcome, seq, CASE WHEN seq < n // {PARTS} THEN 0 WHEN seq < n * 2 // {PARTS} THEN 1 ELSE 2 END AS batch_id FROM pk)
+  SELECT batch_id, count(*) AS packets, count(*) FILTER (WHERE outcome = 'invalid') AS invalid, count(*) FILTER (WHERE outcome = 'unknown_machine') AS unknown_machine,
+    count(*) FILTER (WHERE outcome = 'disconnected') AS disconnected, count(*) FILTER (WHERE outcome NOT IN ('invalid', 'unknown_machine', 'disconnected')) AS "rows",
+    count(*) FILTER (WHERE outcome LIKE 'late%') AS late_rows, count(gaps.seq) AS gaps FROM pb LEFT JOIN gaps USING (seq) GROUP BY 1""")
+def stream_metrics(spark, d):
+    """What each micro-batch of the machine stream counted while it ran, and wrote."""
+    return run(spark, d)[0].batch_stats(spark).select("batch_id", "packets", "invalid", "unknown_machine", "disconnected", "rows", "late_rows", "gaps")
+
+
 def _early(spark, d, calendar: VersionedTable) -> None:
     """From now on every company works the night, and every second shift begins an hour early."""
     start = F.when(F.expr("id % 10 = 2"), "13:00").otherwise(F.col("start_time"))

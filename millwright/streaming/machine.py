@@ -165,6 +165,9 @@ def alarm_events(snapshots: DataFrame) -> DataFrame:
         F.when(mine, F.col("obs_at")).otherwise(F.col("_h.started_at")).alias("started_at"))
 
 
+METRICS = "packets BIGINT, invalid BIGINT, unknown_machine BIGINT, disconnected BIGINT, duration_ms BIGINT"
+
+
 class MachineStream:
     """Writes the tables of ``TABLES`` below ``root``, each with a folder for every micro-batch.
 
@@ -227,6 +230,32 @@ class MachineStream:
         with sorted_streams(messages.sparkSession):
             return self.steps(messages).writeStream.foreachBatch(self.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+    def run(self, messages: DataFrame, checkpoint: str):
+        """Run over everything available, wait, and keep what the micro-batches counted."""
+        query = self.start(messages, checkpoint)
+        query.awaitTermination()
+        self.note(messages.sparkSession, query)
+        return query
+
+    def note(self, spark: SparkSession, query) -> None:
+        """One row a micro-batch in ``metrics``, from the progress Spark keeps of ``query`` (its last hundred micro-batches).
+
+        The counts were made while the packets passed by (``observe``), so no packet is read for them again.
+        """
+        for p in query.recentProgress:
+            seen = p.observedMetrics.get("packets")
+            if seen is not None and p.numInputRows:
+                row = [(seen["packets"], seen["invalid"], seen["unknown"], seen["disconnected"], p.batchDuration)]
+                self._write(spark.createDataFrame(row, METRICS).coalesce(1), "metrics", p.batchId)
+
+    def batch_stats(self, spark: SparkSession) -> DataFrame:
+        """Per micro-batch: packets by what kept them out, rows, late rows, hours and gaps written, and how long it took."""
+        out = self.read(spark, "metrics").join(self.read(spark, "batches"), "batch_id", "left")
+        for table, name in (("hourly", "upserts"), ("gaps", "gaps")):
+            if table in self.tables:
+                out = out.join(self.read(spark, table).groupBy("batch_id").agg(F.count("*").alias(name)), "batch_id", "left").fillna(0, [name])
+        return out
+
     # --- what the tables say now -------------------------------------------------------------------------
     def read(self, spark: SparkSession, table: str) -> DataFrame:
         return spark.read.option("basePath", self.path(table)).parquet(self.path(table))

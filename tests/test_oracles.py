@@ -13,7 +13,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 CATALOG = load()
 QUICK = ("shift_at", "unknown_machines", "parts_delta", "observation_gaps", "production_hourly", "canonical_keys", "arrival_order", "alarm_periods",
          "critical_events", "meter_merge", "lag_episodes", "late_windows", "identity_update", "replay_safe_commit", "range_guard", "quarantine_summary",
-         "pipeline_readings", "pipeline_hourly", "priority_match", "priority_events", "alarm_lifecycle", "alarm_state_after", "alarm_notifications", "hourly_days", "meter_days", "dead_letters", "storable_rows", "lag_alerts", "identity_rate_limit", "bounded_entries")
+         "pipeline_readings", "pipeline_hourly", "priority_match", "priority_events", "alarm_lifecycle", "alarm_state_after", "alarm_notifications", "hourly_days", "meter_days", "dead_letters", "storable_rows", "stream_metrics", "lag_alerts", "identity_rate_limit", "bounded_entries")
 NAMES = sorted(CATALOG.ORACLES) if os.environ.get("MILLWRIGHT_ALL") else QUICK
 
 
