@@ -226,11 +226,13 @@ def gap_rows(spark, d):
   FROM slices GROUP BY 1, 2, 3""")
 def hourly_upsert(spark, d):
     """Two batches added to the table one after the other equal one aggregation of everything."""
-    from millwright.session import materialise
-    slices = materialise(production.production_slices(
-        steps_of(spark, d), shift_calendar(shifts(spark, d)), MAPPED))
+    from millwright.session import dealt, scratch_table
+    slices = scratch_table(production.production_slices(
+        steps_of(spark, d), shift_calendar(shifts(spark, d)), MAPPED), "slices")
     half = F.pmod(F.hash("machine_id", "hour_start", "run", "energy"), F.lit(2)) == 0
-    first, second = production.production_hourly(slices.where(half)), production.production_hourly(slices.where(~half))
+    key = ["machine_id", "shift_id", "hour_start"]  # one task sums a key of both batches and of the table
+    spread = dealt(slices, key)
+    first, second = (production.production_hourly(spread.where(part)) for part in (half, ~half))
     return production.merge_hourly(first, second).withColumn("energy_kwh", F.round("energy_kwh", 6))
 
 

@@ -49,3 +49,18 @@ def test_empty_batches_and_rows_without_a_time(spark, tmp_path):
         table.upsert(batch(spark, (1, None, 1)), 1)
     table.upsert(batch(spark, (1, -3600, 1)), 2)
     assert table.read(spark).count() == 1
+
+
+def test_tasks_that_add_batches_up_grow_with_the_rows(spark):
+    from pyspark.sql import functions as F
+
+    from millwright.operators import production
+    from millwright.session import dealt, scratch_table
+    row = "id % 50 as machine_id, id % 3 as shift_id, id div 9 * 3600 as hour_start, 7L as company_id, 10L as run, 5L as idle, 1L as manual, 2L as produced, 0.5D as energy"
+    slices = scratch_table(spark.range(3000).selectExpr(*row.split(", ")), "slices")
+    even = F.col("produced") + F.col("hour_start") % 7 > 4
+    spread = dealt(slices, ["machine_id", "shift_id", "hour_start"], 100)
+    merged = production.merge_hourly(*(production.production_hourly(spread.where(part)) for part in (even, ~even)))
+    held = [r["count"] for r in merged.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) > 20 and max(held) < 300  # thirty tasks, not the session's four
+    assert sorted(merged.collect()) == sorted(production.production_hourly(slices).collect())
