@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millwright.functions.payload import depth_ok, fingerprint
 from millwright.params import Params
 from millwright.plans import load, mapping
-from millwright.session import checkpoint_dir
+from millwright.session import HUGE, checkpoint_dir
 from millwright.streaming.machine import STEP_FIELDS, TOGETHER, MachineWalk
 
 
@@ -31,6 +31,19 @@ def test_only_narrow_rows_are_dealt(spark, tmp_path, monkeypatch):
     assert 0 < plan.index("Generate explode") < plan.index("RoundRobinPartitioning")  # the texts are made after the exchange
 
 
+def test_no_method_of_the_landing_is_too_long_for_the_jvm_to_compile(spark, tmp_path, monkeypatch):
+    seen, before = [], spark.conf.get(HUGE)
+
+    def written(df, name):
+        seen.append(int(spark.conf.get(HUGE)))
+        return df
+
+    monkeypatch.setattr(mapping, "scratch_table", written)
+    plan = mapping.messages(spark, events(spark, tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert seen == [8000] and spark.conf.get(HUGE) == before
+    assert plan.count('"PowerData"') == 1  # a packet's body is written once, whatever becomes of it
+
+
 def test_packets_land_compressed(spark, tmp_path):
     before = set(glob.glob(os.path.join(checkpoint_dir(spark).removeprefix("file:"), "packets-*", "*.json.gz")))
     rows = load().QUERIES["raw_messages"](spark, events(spark, tmp_path))
