@@ -269,6 +269,46 @@ def test_links_beyond_the_leader_are_found(spark):
         assert [(r.component_id, r.kept) for r in out if r.doc_id is None] == [(None, True)] * 2
 
 
+def test_a_group_just_under_the_limit_is_compared_in_blocks(spark, monkeypatch):
+    """All texts are like one another but below the limit, a few beyond it: no row for every two of them is written."""
+    base, rows = [f"w{j}" for j in range(200)], []
+    for i in range(90):
+        words = list(base)
+        for k in range(4):
+            words[(i * 7 + k * 41) % 200] = f"own{i}/{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, rows[i][1] + " more") for i in range(0, 90, 30)]
+    written, write = {}, minhash.scratch_table
+
+    def counted(df, name):
+        table = write(df, name)
+        written.setdefault(name, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(minhash, "scratch_table", counted)
+    monkeypatch.setattr(minhash, "BLOCK_NODES", 40, raising=False)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = minhash.near_duplicates(df, minhash.NearParams(3, 85, short_list=4, rounds=0)).collect()
+    component, _ = plain.components([i for i, _ in rows], [t for _, t in rows], 3, 85)
+    assert {r.doc_id: r.component_id for r in out} == component and 1 < len(set(component.values()))
+    assert max(n for name in ("pairs", "judged", "block-links") for n in written.get(name, [0])) < len(rows)
+
+
+def test_shared_values_of_blocks(monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_COLUMNS", 7)
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(-30, 30), rng.randrange(0, 40))) for _ in range(12)]
+    arrays = [minhash.np.array(s, dtype="int64") for s in sets]
+    got = minhash.shared_counts(arrays[:5], arrays[5:])
+    assert got.tolist() == [[len(set(a) & set(b)) for b in sets[5:]] for a in sets[:5]]
+    assert minhash.shared_counts([], arrays).shape == (0, 12) and minhash.shared_counts(arrays[:1], arrays[:0]).shape == (1, 0)
+    linked = minhash.np.zeros((6, 6), dtype=bool)
+    for a, b in ((0, 2), (2, 4), (4, 0), (3, 5)):
+        linked[a, b] = linked[b, a] = True
+    found = minhash.joining(linked)
+    assert len(found) == 3 and all(linked[a, b] for a, b in found)
+
+
 def test_sketch_shares_are_sound():
     params = minhash.NearParams(3, 85)
     assert minhash.needed(10, params) == 9 and minhash.needed(1, params) == 1
