@@ -52,12 +52,14 @@ def packed(vectors: DataFrame, id_col: str, vec_col: str, size: int, build: Call
 def search(index: DataFrame, index_parts: int, queries: DataFrame, query_parts: int, answer: Callable[[bytes, bytes], tuple], kind: str, k: int) -> DataFrame:
     """The ``k`` best answers of every query over all blocks: highest score first, ties to the smaller identifier.
 
-    Each block is sent to the blocks of the other side, so a task holds two blocks at a time whatever the tables' size.
+    Each block is sent to the blocks of the other side, so a task holds two blocks at a time whatever the tables' size. The
+    join is a merge join by name: a side's size is guessed before its blocks are repeated, so a guess of a few megabytes
+    would bring hundreds of them to the driver to be broadcast.
     """
     left = index.select("dim", F.col("part").alias("ip"), F.col("body").alias("index_body"), F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("qp"))
     right = queries.select(F.col("dim").alias("qdim"), F.col("part").alias("qpart"), F.col("body").alias("query_body"),
                            F.explode(F.sequence(F.lit(0), F.lit(index_parts - 1))).alias("ipart"))
-    pairs = left.join(right, (F.col("dim") == F.col("qdim")) & (F.col("ip") == F.col("ipart")) & (F.col("qp") == F.col("qpart")))
+    pairs = left.join(right.hint("merge"), (F.col("dim") == F.col("qdim")) & (F.col("ip") == F.col("ipart")) & (F.col("qp") == F.col("qpart")))
 
     def run(batches):
         for batch in batches:

@@ -91,6 +91,16 @@ def test_exact_topk_of_large_components(spark):
     assert grouped(topk.exact_topk(df, df.where("vec_id = 0"), 2)) == ranked(rows, lambda i: i == 0, 2, True)
 
 
+def test_blocks_never_come_to_the_driver(spark):
+    """However small a side is guessed to be, its repeated blocks are not broadcast."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)], "vec_id long, embedding array<float>")
+    for found in (topk.exact_topk(df, df.where("vec_id % 20 = 0"), 2), neighbours.nearest(df, df.where("vec_id % 20 = 0"), 2)):
+        assert found.count() == 6
+        found.collect()
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_neighbours_are_exact_at_factor_one(vectors):
     df, rows = vectors
     got = grouped(neighbours.nearest(df, df.where("vec_id % 20 = 0"), 20, 1.0))
