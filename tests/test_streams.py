@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ from millwright.sources.messages import stream_messages
 from millwright.sources.sinks import write_by_day
 from millwright.sources.versions import VersionedTable
 from millwright.streaming import stateful
-from millwright.streaming.machine import MachineStream, blocks_of, initial_states
+from millwright.streaming.dedup import FirstCopies
+from millwright.streaming.machine import PACKET, STEP_FIELDS, MachineStream, MachineWalk, blocks_of, initial_states
 
 
 def drain(spark, rows, operator, p, path, order, cut):
@@ -150,6 +152,80 @@ def test_a_cold_start_from_the_tables_goes_on_like_a_stream_that_never_stopped(s
     assert late and told(spark.read.parquet(cold.path("steps", 0)), "seq", "outcome") == told(spark.read.parquet(whole.path("steps", 1)), "seq", "outcome")
 
 
+class Held(dict):
+    """State variables of one key, in memory."""
+
+    def getMapState(self, name, *_):
+        return self.setdefault(name, Held())
+
+    getValueState = getMapState
+
+    def containsKey(self, key):
+        return key in self
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def exists(self):
+        return "value" in self
+
+    def update(self, value):
+        self["value"] = value
+
+    def get(self, key="value"):
+        return super().get(key)
+
+
+def walked(state, *frames):
+    walk = MachineWalk(Params())
+    walk.init(state)
+    return list(walk.handleInputRows((0,), iter([pd.DataFrame(f, columns=PACKET) for f in frames]), None))
+
+
+def test_machines_that_are_walked_together_are_told_apart():
+    at = 1_704_100_000
+    row = lambda m, seq, t, h, count: (m, seq, 5, at + t, (at + t) * 1000, False, None, h, "RUN", None, count, [], "{}")
+    state = Held()
+    first = walked(state, [row(1, 0, 0, "a", 7), row(1, 2, 10, "a", 7), row(2, 1, 5, "a", 3)], [row(2, 3, 15, "b", None), row(3, 4, 1, "a", 9)])
+    assert len(first) == 2  # one frame for all of a frame's machines
+    out = pd.concat(first)[STEP_FIELDS]
+    assert out["outcome"].tolist() == ["accepted", "duplicate", "accepted", "accepted", "accepted"]
+    assert [None if v != v else v for v in out["prev_at"]] == [None, at, None, at + 5, None]
+    assert [None if v != v else v for v in out["baseline_before"]] == [None, 7, None, 3, None]
+    assert sorted(k for k, in state["held"]) == [1, 2, 3]
+    again = walked(state, [row(2, 9, 20, "b", 4), row(2, 10, 400, "b", 4), row(3, 11, 2, "c", 9)])[0]
+    assert again["outcome"].tolist() == ["duplicate", "accepted", "accepted"] and again["baseline_before"].tolist() == [3, 3, 9]
+    for mixed in ([row(1, 20, 500, "x", 1), row(1, 19, 501, "y", 1)], [row(2, 30, 500, "x", 1), row(1, 31, 501, "y", 1)]):
+        with pytest.raises(ValueError):
+            walked(Held(), mixed)
+
+
+def test_copies_of_machines_that_share_a_key_are_told_apart():
+    hour, state = 3_600_000, Held()
+
+    def let(*rows):
+        copies = FirstCopies(Params(), ["machine_id", "seq"])
+        copies.init(state)
+        frame = pd.DataFrame(rows, columns=["machine_id", "fingerprint", "seq", "recv_ms"])
+        return [tuple(r) for f in copies.handleInputRows((0,), iter([frame]), None) for r in f.itertuples(index=False)]
+
+    assert let((1, "a", 0, 0), (2, "a", 1, 1_000), (1, "a", 2, 200_000), (2, "b", 3, 200_001)) == [(1, 0), (2, 1), (2, 3)]
+    assert let((1, "a", 4, 300_000), (2, "a", 5, 300_000)) == [(1, 4)]
+    # machine 1 is two days on: its own old copies go, machine 2's stay, as its collector lags behind
+    assert let((1, "z", 6, 48 * hour)) == [(1, 6)]
+    assert sorted(state["taken"]) == [(1, "z"), (2, "a"), (2, "b")]
+    assert let((2, "b", 7, 400_000), (2, "a", 8, 400_000)) == [(2, 8)]
+
+
 def test_a_version_that_lost_a_file_is_passed_over(spark, tmp_path):
     table = VersionedTable(str(tmp_path / "dim"))
     rows = lambda n: spark.range(n).withColumn("v", F.lit(n)).repartition(2)
