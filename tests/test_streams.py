@@ -16,7 +16,7 @@ from millwright.sources.sinks import write_by_day
 from millwright.sources.versions import VersionedTable
 from millwright.streaming import stateful
 from millwright.streaming.dedup import FirstCopies
-from millwright.streaming.machine import PACKET, STEP_FIELDS, MachineStream, MachineWalk, blocks_of, initial_states
+from millwright.streaming.machine import PACKET, STEP_FIELDS, GroupWalk, MachineStream, blocks_of, initial_states
 
 
 def drain(spark, rows, operator, p, path, order, cut):
@@ -186,7 +186,7 @@ class Held(dict):
 
 
 def walked(state, *frames):
-    walk = MachineWalk(Params())
+    walk = GroupWalk(Params())
     walk.init(state)
     return list(walk.handleInputRows((0,), iter([pd.DataFrame(f, columns=PACKET) for f in frames]), None))
 
